@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .backoff import backoff_scores
 from .common import table
 from .debruijn import remove_repeats
 from .minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_stupid_backoff": lambda spark, d: backoff_scores(table(spark, d, "documents")).drop("mean_score"),
     "op2_minhash_near_dedup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op6_substring_dedup": lambda spark, d: remove_repeats(table(spark, d, "documents")),
 }
 ORACLES: dict[str, str] = {
+    "op1_stupid_backoff": oracles.BACKOFF,
     "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op6_substring_dedup": oracles.REPEATS,
 }
