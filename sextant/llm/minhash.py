@@ -126,16 +126,15 @@ def _soft(bits: int, bound: float):
         for t in groups(batches, ["key", "p", "q"]):
             ids, sig = t["rep"].to_numpy(), _signatures(t["sig"])
             own, alone = _sides(t)
-            forest, out = Forest(len(ids)), []
+            forest = Forest(len(ids))
             for i in np.flatnonzero(own).tolist():
                 rest = np.arange(i + 1, len(ids)) if alone else np.flatnonzero(~own)
                 rest = rest[forest.label[rest] != forest.label[i]]
                 if len(rest):
                     for j in rest[estimate(sig[i], sig[rest], bits) >= bound].tolist():
-                        if forest.join(i, j):
-                            out.append((ids[i], ids[j]))
-            if out:
-                e = np.array(out, dtype=np.int64)
+                        forest.join(i, j)
+            e = forest.stars(ids)
+            if len(e):
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
     return run
@@ -148,7 +147,7 @@ def _links(bits: int, bound: float, per_10000: int):
             sets = [np.frombuffer(x, dtype=U) for x in t["hashes"].to_pylist()]
             size = np.array([len(s) for s in sets])
             own, alone = _sides(t)
-            forest, out = Forest(len(ids)), []
+            forest = Forest(len(ids))
             for i in np.flatnonzero(own).tolist():
                 rest = np.arange(i + 1, len(ids)) if alone else np.flatnonzero(~own)
                 rest = rest[forest.label[rest] != forest.label[i]]
@@ -163,9 +162,8 @@ def _links(bits: int, bound: float, per_10000: int):
                     both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
                     if 10_000 * both >= per_10000 * (len(a) + len(b) - both):
                         forest.join(i, j)
-                        out.append((ids[i], ids[j]))
-            if out:
-                e = np.array(out, dtype=np.int64)
+            e = forest.stars(ids)
+            if len(e):
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
     return run
