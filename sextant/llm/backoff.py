@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .blocks import groups
-from .common import cut, pieces
+from .common import cut, pieces, release
 
 U = np.uint64
 #: Bytes of text in a batch; what a task holds at once follows from it.
@@ -177,5 +177,7 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
         asked = docs.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(_statements(n, min_count, parts), _ASK)
         answers = asked.repartition(pieces(spark), "part").sortWithinPartitions("part").mapInArrow(_table(n), _ANSWER)
         counts = cut(counts.union(answers))
+        del asked, answers
+        release(spark)
     out = docs.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(_scores(order, alpha, min_count, words), "doc_id long, n_words long, score_micro long")
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score_micro") / F.col("n_words") / 1_000_000))

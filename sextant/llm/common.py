@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,20 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(where)
-    out = df.checkpoint(eager=True)
-    del df
-    gc.collect()  # what lies behind is no longer referenced; Spark's cleaner drops its shuffle files once both heaps say so
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files behind frames that have been cut and are no longer referenced.
+
+    It does so once the heaps of Python and of the driver have been swept, which may otherwise take until the disks are
+    full. Called between the phases of operators that shuffle much.
+    """
+    spark.range(1).count()  # the listeners' queues hold on to the last query that ended until another has
+    gc.collect()
+    time.sleep(1.2)  # references of Python to the driver's heap are returned by a thread that wakes once a second
     spark.sparkContext._jvm.System.gc()
-    return out
+    time.sleep(0.5)
 
 
 def pieces(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import cut
+from .common import cut, release
 
 U = np.uint64
 #: A position also holds 16 bits of its row's content above this bit, so that rows of one doc_id keep apart.
@@ -174,6 +174,7 @@ def repeated_spans(docs: DataFrame, window: int = 13, minimizer: int = 7) -> Dat
     low = docs.mapInArrow(_minimizers(window, minimizer), "m long, doc_id long")
     shared = low.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("m")
     wanted = cut(low.join(shared, "m").groupBy("doc_id").agg(F.collect_set("m").alias("shared")))
+    release(docs.sparkSession)
     at = docs.join(wanted, "doc_id").mapInArrow(_edges(window, minimizer), "edge long, doc_id long, pos long")
     edges = at.groupBy("edge").agg(F.min("doc_id").alias("src_doc"), F.min_by("pos", "doc_id").alias("src_pos"), F.max("doc_id").alias("last")).filter("src_doc < last").drop("last")
     later = at.join(edges, "edge").filter("src_doc < doc_id").select("doc_id", "pos", "src_doc", (F.col("pos") - F.col("src_pos")).alias("diagonal"))
@@ -192,9 +193,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, minimizer: int = 7) -> Dat
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spans = cut(repeated_spans(docs, window, minimizer))
+    release(docs.sparkSession)
     ask = spans.select("src_doc", "src_start", "length").distinct()
     ask = ask.groupBy("src_doc").agg(F.collect_list("src_start").alias("starts"), F.collect_list("length").alias("lengths"))
     source = docs.join(ask.withColumnRenamed("src_doc", "doc_id"), "doc_id").mapInArrow(_source_checks, "src_doc long, src_start long, length long, check long").distinct()
     checked = spans.join(source, ["src_doc", "src_start", "length"])
     mine = cut(checked.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"), F.collect_list("check").alias("checks")))
+    release(docs.sparkSession)
     return docs.join(mine, "doc_id", "left").select("doc_id", "text", "starts", "lengths", "checks").mapInArrow(_removal, "doc_id long, n_words long, n_removed long, kept_sha256 string")
