@@ -11,11 +11,25 @@ from .backoff import backoff_scores
 from .common import table
 from .debruijn import remove_repeats
 from .minhash import near_duplicates
+from .mixing import mixed_words
+from .packing import packed
+from .pseudonyms import pseudonymised
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed package of public tokenizers has a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_stupid_backoff": lambda spark, d: backoff_scores(table(spark, d, "documents")).drop("mean_score"),
     "op2_minhash_near_dedup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
+    "op3_nnls_packing": lambda spark, d: packed(table(spark, d, "documents"), vocabulary_path()),
+    "op5_source_mixing": lambda spark, d: mixed_words(table(spark, d, "documents")),
     "op6_substring_dedup": lambda spark, d: remove_repeats(table(spark, d, "documents")),
+    "op7_feistel_pseudonyms": lambda spark, d: pseudonymised(table(spark, d, "documents").select("doc_id", "text")),
 }
 ORACLES: dict[str, str] = {
     "op1_stupid_backoff": oracles.BACKOFF,
