@@ -10,6 +10,7 @@ from . import oracles
 from .backoff import backoff_scores
 from .common import table
 from .debruijn import remove_repeats
+from .discriminant import quality_scores
 from .minhash import near_duplicates
 from .mixing import mixed_words
 from .packing import packed
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": lambda spark, d: mixed_words(table(spark, d, "documents")),
     "op6_substring_dedup": lambda spark, d: remove_repeats(table(spark, d, "documents")),
     "op7_feistel_pseudonyms": lambda spark, d: pseudonymised(table(spark, d, "documents").select("doc_id", "text")),
+    "op10_quadratic_discriminant": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 ORACLES: dict[str, str] = {
     "op1_stupid_backoff": oracles.BACKOFF,
