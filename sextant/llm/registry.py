@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .backoff import backoff_scores
 from .common import table
+from .ctph import compared_with_next
 from .debruijn import remove_repeats
 from .discriminant import quality_scores
 from .minhash import near_duplicates
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": lambda spark, d: mixed_words(table(spark, d, "documents")),
     "op6_substring_dedup": lambda spark, d: remove_repeats(table(spark, d, "documents")),
     "op7_feistel_pseudonyms": lambda spark, d: pseudonymised(table(spark, d, "documents").select("doc_id", "text")),
+    "op8_context_triggered_hashes": lambda spark, d: compared_with_next(table(spark, d, "documents")),
     "op10_quadratic_discriminant": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 ORACLES: dict[str, str] = {
