@@ -14,6 +14,7 @@ from .debruijn import remove_repeats
 from .discriminant import quality_scores
 from .minhash import near_duplicates
 from .mixing import mixed_words
+from .multiindex import near_vectors
 from .packing import packed
 from .pseudonyms import pseudonymised
 
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_stupid_backoff": lambda spark, d: backoff_scores(table(spark, d, "documents")).drop("mean_score"),
     "op2_minhash_near_dedup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op3_nnls_packing": lambda spark, d: packed(table(spark, d, "documents"), vocabulary_path()),
+    "op4_inverted_multi_index": lambda spark, d: near_vectors(table(spark, d, "embeddings")),
     "op5_source_mixing": lambda spark, d: mixed_words(table(spark, d, "documents")),
     "op6_substring_dedup": lambda spark, d: remove_repeats(table(spark, d, "documents")),
     "op7_feistel_pseudonyms": lambda spark, d: pseudonymised(table(spark, d, "documents").select("doc_id", "text")),
