@@ -13,6 +13,7 @@ from .ctph import compared_with_next
 from .debruijn import remove_repeats
 from .discriminant import quality_scores
 from .minhash import near_duplicates
+from .language import page_languages
 from .mixing import mixed_words
 from .multiindex import near_vectors
 from .packing import packed
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": lambda spark, d: remove_repeats(table(spark, d, "documents")),
     "op7_feistel_pseudonyms": lambda spark, d: pseudonymised(table(spark, d, "documents").select("doc_id", "text")),
     "op8_context_triggered_hashes": lambda spark, d: compared_with_next(table(spark, d, "documents")),
+    "op9_language_fusion": lambda spark, d: page_languages(table(spark, d, "pages"), table(spark, d, "documents")),
     "op10_quadratic_discriminant": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 ORACLES: dict[str, str] = {
