@@ -1,5 +1,82 @@
-"""A corpus pipeline over documents."""
+"""A corpus pipeline over documents: quality, near-duplicates, personal data, mixture, packing.
+
+Each stage takes what the one before has kept and written; all but the last return the columns of documents. Rows
+without doc_id pass the second stage and are otherwise treated as any row. Null and empty texts are judged by quality
+like others, link with nothing and have no words that the mixture could take. An empty table passes as one.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sextant.llm.common import WORD, shared_folder, table
+from sextant.llm.discriminant import accepted
+from sextant.llm.minhash import near_duplicates
+from sextant.llm.mixing import mixed_words
+from sextant.llm.packing import packed
+from sextant.llm.pseudonyms import pseudonymised
+from sextant.llm.registry import vocabulary_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: SQL has neither the classifier's fit nor pseudonyms nor token ids; the stages are tested against plain Python.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier accepts; it learns from the labels of the documents that are there."""
+    return accepted(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id; of rows with one doc_id a single one."""
+    docs = docs.select(*COLUMNS)
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    alone = docs.join(kept, "doc_id").withColumn("_nth", one).filter("_nth = 1").select(*COLUMNS)
+    return alone.union(docs.filter("doc_id is null"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with pseudonyms in their texts and n_chars taken anew."""
+    return pseudonymised(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes all of a document's words, and one with as many first words of its text as
+    are taken beyond that. Rows of equal doc_id and size share what the mix takes of them evenly."""
+    docs = docs.select(*COLUMNS)
+    taken = mixed_words(docs).groupBy("doc_id", "size").agg(F.expr("sum(taken) div count(*)").alias("taken")).filter("taken > 0")
+    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    mixed = sized.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size")))
+    times = mixed.withColumn("_words", F.explode(F.expr("filter(concat(array_repeat(size, cast(taken div size as int)), array(taken % size)), n -> n > 0)")))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(first)
+    return times.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows' token pieces and their places in sequences."""
+    return packed(docs, vocabulary_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicate),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each but the last written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
+        docs = spark.read.parquet(f"{where}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

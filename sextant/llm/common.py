@@ -17,15 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable storage, so that a lost executor costs no more than a reread.
-
-    Uses spark.checkpoint.dir as the session has it; only where it is unset, as in tests, a folder is set here.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate rows: spark.checkpoint.dir as the session has it; where it is unset, one of our own."""
     if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(where)
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from reliable storage, so that a lost executor costs no more than a reread."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -142,6 +142,17 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def _learnt(x: DataFrame, labels: DataFrame, towards_pooled: float, towards_identity: float) -> Discriminant:
+    """The discriminant of labelled rows of x (doc_id, x)."""
+    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & ~held_out("doc_id"))
+    moments = x.join(known, "doc_id").select("x", "quality").mapInArrow(_moments, "label int, cell int, value double")
+    got: dict[int, np.ndarray] = {}
+    d = len(NAMES) + 1
+    for r in moments.groupBy("label", "cell").agg(F.sum("value").alias("value")).collect():  # two matrices
+        got.setdefault(r["label"], np.zeros(d * d))[r["cell"]] = r["value"]
+    return Discriminant({k: m.reshape(d, d) for k, m in got.items()}, towards_pooled, towards_identity)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, towards_pooled: float = 0.1, towards_identity: float = 0.05) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text), learnt from labels (doc_id, quality).
 
@@ -151,13 +162,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, towards_pooled: float = 0
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     x = cut(docs.mapInArrow(_features, "doc_id long, x array<double>"))
-    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & ~held_out("doc_id"))
-    moments = x.join(known, "doc_id").select("x", "quality").mapInArrow(_moments, "label int, cell int, value double")
-    got: dict[int, np.ndarray] = {}
-    d = len(NAMES) + 1
-    for r in moments.groupBy("label", "cell").agg(F.sum("value").alias("value")).collect():  # two matrices
-        got.setdefault(r["label"], np.zeros(d * d))[r["cell"]] = r["value"]
-    model = Discriminant({k: m.reshape(d, d) for k, m in got.items()}, towards_pooled, towards_identity)
+    model = _learnt(x, labels, towards_pooled, towards_identity)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,3 +171,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, towards_pooled: float = 0
 
     out = x.mapInArrow(score, "doc_id long, score double")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, towards_pooled: float = 0.1, towards_identity: float = 0.05) -> DataFrame:
+    """The rows of docs that quality_scores would give a half or more, with all their columns; they are not moved."""
+    x = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features, "doc_id long, x array<double>")
+    model = _learnt(x, labels, towards_pooled, towards_identity)
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in T.slices(batch.column(place)):
+                part = batch.slice(i, j - i)
+                yield part.filter(pa.array(model.score(statistics(part.column(place))) >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
