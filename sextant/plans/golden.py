@@ -1,3 +1,271 @@
-"""Queries over a small corpus of source code, with hand-derived rows as their SQL."""
+"""Queries over a small corpus of source code of our own, with hand-derived rows as their SQL.
 
-REGISTERED = {}
+They run the parser and every check for real; the driver's tables have no source code to run them on.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.paths import extension
+from ..operators import crap, gates, source
+from ..sources import listing
+
+CORPUS: dict[str, str] = {
+    "src/mixed.js": """\
+export function mixed(a, b) {
+  let r = 0;
+  if (a > 0) r++;
+  if (b > 0) r++;
+  for (let i = 0; i < 10; i++) r += i;
+  const c = a > b ? 1 : 0;
+  return r + c && a && b;
+}
+export function everything(o) {
+  let r = 0;
+  while (r < 5) r++;
+  do { r++; } while (r < 9);
+  for (const k in o) r++;
+  for (const v of [1, 2]) r++;
+  try { r--; } catch (e) { r++; }
+  switch (r) { case 1: r++; break; case 2: r++; break; default: r++; }
+  return r ?? o?.x;
+}
+""",
+    "src/names.jsx": """\
+const g = (x) => x && 1;
+a.b = function () { if (x) return 1; };
+a['k'] = () => 0;
+this.x = () => 1;
+const o = { m() { return 1; }, k: () => 2, 's'() {}, ...p };
+class Box extends Base {
+  constructor() { super(); }
+  #hid() { return 1; }
+  static get size() { return this.n ? 1 : 0; }
+  run = () => 1;
+}
+function outer() {
+  function inner() { if (a) return 1; if (b) return 2; }
+  items.map((i) => (i ? 1 : 2));
+  return <p onClick={() => a || b}>it's {outer} &amp; <b/></p>;
+}
+export default function () {}
+""",
+    "src/typed.ts": """\
+interface Shape { kind: 'round' | 'square'; area(): number }
+type Pair<T> = [T, T];
+function over(a: string): void;
+function over(a: any): any { return a as unknown as string; }
+export abstract class Store<T extends object> implements Shape {
+  private items: Map<string, Array<T>> = new Map();
+  constructor(private readonly size: number) { super(); }
+  abstract area(): number;
+  get(key: string): T | undefined { return this.items.get(key) ?? undefined; }
+}
+export const pick = async <T,>(xs: T[], i = 0): Promise<T> => xs[i]!;
+""",
+    "src/deep.js": """\
+function deep(a) {
+  if (a) { for (;;) { while (a) { try { switch (a) { case 1: if (a) { b(); } } } catch (e) {} } } }
+}
+function flat(a) { return a; }
+function chain(a) { if (a) {} else if (b) {} else if (c) {} }
+""",
+    "src/dead.js": """\
+'use strict';
+import { used } from './deep.js';
+const alive = 1, dead = 2;
+function gone() {}
+class Lost {}
+export const shown = alive + used;
+const { ignored } = alive;
+""",
+    "src/data.js": """\
+export class Data { a = 1; b = 2; #c = 3; static d = 4; get() { return this.a; } }
+export class Calm { a = 1; one() {} two() {} three() {} }
+export const C = class { m() { return class Inner { n() {} }; } };
+""",
+    "src/magic.js": """\
+el.color = 0x3366ff;
+const ACCENT = 0xff3366;
+let mut = 0xdeadbeef;
+f(86400); g(86400); h(86400);
+f('hello'); g(`hello`); h("hello");
+f(x['night-mode'], { 'night-mode': 1 }); switch (x) { case 'night-mode': g('night-mode'); }
+const A = 12345, B = 12345, D = 12345;
+f('no'); f('no'); f('no');
+""",
+    "src/main.js": """\
+const b = require('./lib');
+import('./mixed.js').then((m) => m);
+export * from './names';
+import x from 'lodash';
+export { y } from '../db/pool.js';
+""",
+    "src/lib/index.js": "export const lib = 1;\n",
+    "src/utils.js": "export const u = 1;\n",
+    "src/batch1.js": "export const v = 1;\n",
+    "src/base64.js": "export const w = 1;\n",
+    "src/broken.js": "}}}\n",
+    "test/one.test.js": """\
+import assert, { ok as fine } from 'node:assert';
+test('empty', () => {});
+it('plain', () => { assert.equal(1, 1); });
+test.skip('renamed', { skip: true }, function () { fine(1); });
+test('context', (t) => { t.assert.ok(1); }, { timeout: 5 });
+test('other', (t) => { u.assert.ok(1); });
+describe('group', () => { it(`x`, async () => { expect(1); }); });
+test.todo('later');
+""",
+    "db/pool.js": "export const y = 1;\n",
+}
+
+
+def files(spark: SparkSession) -> DataFrame:
+    """The corpus as listed files with contents."""
+    df = spark.createDataFrame([("p", k, v) for k, v in CORPUS.items()], "project string, rel_path string, content string")
+    return df.withColumn("ext", extension(F.col("rel_path")))
+
+
+def _rows(spark: SparkSession, keep: Callable[[DataFrame], DataFrame] = listing.gate_files) -> DataFrame:
+    return source.parsed(keep(files(spark)))
+
+
+REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def _values(columns: str, rows: list[tuple], types: tuple[str, ...]) -> str:
+    """Hand-derived rows as SQL."""
+    quote = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v!r}e0" if isinstance(v, float) else str(v)
+    cast = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in zip(columns.split(", "), types, strict=True))
+    return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def golden(columns: str, types: str, rows: list[tuple]):
+    """Registers a query with the rows it must give."""
+
+    def add(f: Callable[[SparkSession], DataFrame]):
+        sql = _values(columns, rows, tuple(types.split(", ")))
+        REGISTERED[f.__name__] = (lambda spark, _d: f(spark).select(*columns.split(", "))), sql
+        return f
+
+    return add
+
+
+@golden("rel_path, name, start_line, end_line, complexity, nesting", "VARCHAR, VARCHAR, INT, INT, INT, INT", [
+    ("src/mixed.js", "mixed", 1, 8, 7, 2), ("src/mixed.js", "everything", 9, 18, 9, 2),
+    ("src/names.jsx", "g", 1, 1, 2, 1), ("src/names.jsx", "a.b", 2, 2, 2, 2), ("src/names.jsx", "a.<anon>", 3, 3, 1, 1), ("src/names.jsx", "<anonymous>.x", 4, 4, 1, 1),
+    ("src/names.jsx", "m", 5, 5, 1, 1), ("src/names.jsx", "k", 5, 5, 1, 1), ("src/names.jsx", "<anonymous>", 5, 5, 1, 1), ("src/names.jsx", "Box.#hid", 8, 8, 1, 1), ("src/names.jsx", "Box.size", 9, 9, 2, 1),
+    ("src/names.jsx", "outer", 12, 16, 3, 2), ("src/names.jsx", "inner", 13, 13, 3, 2), ("src/names.jsx", "<anonymous>", 17, 17, 1, 1),
+    ("src/typed.ts", "over", 4, 4, 1, 1), ("src/typed.ts", "Store.get", 9, 9, 1, 1), ("src/typed.ts", "pick", 11, 11, 1, 1),
+    ("src/deep.js", "deep", 1, 3, 7, 7), ("src/deep.js", "flat", 4, 4, 1, 1), ("src/deep.js", "chain", 5, 5, 4, 4),
+    ("src/dead.js", "gone", 4, 4, 1, 1),
+    ("src/data.js", "Data.get", 1, 1, 1, 1), ("src/data.js", "Calm.one", 2, 2, 1, 1), ("src/data.js", "Calm.two", 2, 2, 1, 1), ("src/data.js", "Calm.three", 2, 2, 1, 1), ("src/data.js", "m", 3, 3, 1, 1), ("src/data.js", "Inner.n", 3, 3, 1, 1),
+])
+def code_methods(spark: SparkSession) -> DataFrame:
+    return source.methods(_rows(spark))
+
+
+@golden("rel_path, name, complexity, coverage, crap_score", "VARCHAR, VARCHAR, INT, DOUBLE, DOUBLE", [
+    ("src/deep.js", "deep", 7, 0.0, 56.0), ("src/deep.js", "flat", 1, 1.0, 1.0), ("src/deep.js", "chain", 4, None, None),
+])
+def code_crap(spark: SparkSession) -> DataFrame:
+    statements = spark.createDataFrame([("p", "src/deep.js", 2, 2, 0), ("p", "src/deep.js", 4, 4, 3), ("p", "src/deep.js", None, 5, 1)], "project string, rel_path string, start_line int, end_line int, hits long")
+    rows = source.parsed(files(spark).filter("rel_path = 'src/deep.js'"))
+    return crap.ranked(source.crap_metrics(rows, statements), *source.KEYS, "start_line")
+
+
+@golden("rel_path, failed", "VARCHAR, BOOLEAN", [("src/broken.js", True)])
+def code_failures(spark: SparkSession) -> DataFrame:
+    return source.failures(_rows(spark)).withColumn("failed", F.col("error").isNotNull())
+
+
+@golden("rel_path, line, message", "VARCHAR, INT, VARCHAR", [("src/deep.js", 1, "deep nesting=7 > max 5")])
+def code_nesting(spark: SparkSession) -> DataFrame:
+    return source.nesting(_rows(spark))
+
+
+@golden("rel_path, name, methods, wmc", "VARCHAR, VARCHAR, BIGINT, BIGINT", [
+    ("src/names.jsx", "Box", 2, 3), ("src/typed.ts", "Store", 1, 1), ("src/dead.js", "Lost", 0, 0), ("src/data.js", "Data", 1, 1), ("src/data.js", "Calm", 3, 3), ("src/data.js", "<anonymous>", 1, 1), ("src/data.js", "Inner", 1, 1),
+])
+def code_class_totals(spark: SparkSession) -> DataFrame:
+    return source.class_totals(_rows(spark))
+
+
+@golden("rel_path, line, message", "VARCHAR, INT, VARCHAR", [("src/big.js", 1, "Big has 26 methods > max 25"), ("src/big.js", 1, "Big WMC=86 > max 80")])
+def code_class_size(spark: SparkSession) -> DataFrame:
+    body = " ".join(f"m{i}() {{}}" for i in range(25)) + " last() { " + "if (a) b(); " * 60 + "}"
+    big = spark.createDataFrame([("p", "src/big.js", "js", f"class Big {{ {body} }}")], "project string, rel_path string, ext string, content string")
+    return source.class_size(source.parsed(big))
+
+
+@golden("rel_path, line, message", "VARCHAR, INT, VARCHAR", [("src/names.jsx", 6, "Box data weight 0.5 > max 0.33"), ("src/data.js", 1, "Data data weight 0.67 > max 0.33"), ("src/typed.ts", 5, "Store data weight 0.5 > max 0.33")])
+def code_weight(spark: SparkSession) -> DataFrame:
+    return source.weight_of_class(_rows(spark))
+
+
+@golden("rel_path, line, message", "VARCHAR, INT, VARCHAR", [
+    ("src/dead.js", 3, "dead is never referenced in the module"), ("src/dead.js", 4, "gone is never referenced in the module"), ("src/dead.js", 5, "Lost is never referenced in the module"),
+    ("src/names.jsx", 1, "g is never referenced in the module"), ("src/names.jsx", 5, "o is never referenced in the module"), ("src/names.jsx", 6, "Box is never referenced in the module"),
+    ("src/deep.js", 1, "deep is never referenced in the module"), ("src/deep.js", 4, "flat is never referenced in the module"), ("src/deep.js", 5, "chain is never referenced in the module"),
+    ("src/magic.js", 2, "ACCENT is never referenced in the module"), ("src/magic.js", 3, "mut is never referenced in the module"), ("src/magic.js", 7, "A is never referenced in the module"),
+    ("src/magic.js", 7, "B is never referenced in the module"), ("src/magic.js", 7, "D is never referenced in the module"), ("src/main.js", 1, "b is never referenced in the module"),
+])
+def code_unused(spark: SparkSession) -> DataFrame:
+    return source.unused_code(_rows(spark))
+
+
+@golden("rel_path, specifier, resolved", "VARCHAR, VARCHAR, VARCHAR", [
+    ("src/dead.js", "./deep.js", "src/deep.js"), ("src/main.js", "./lib", "src/lib/index.js"), ("src/main.js", "./mixed.js", "src/mixed.js"), ("src/main.js", "./names", "src/names.jsx"), ("src/main.js", "lodash", None), ("src/main.js", "../db/pool.js", "db/pool.js"),
+])
+def code_imports(spark: SparkSession) -> DataFrame:
+    return source.resolved_imports(_rows(spark), files(spark))
+
+
+@golden("rel_path, message", "VARCHAR, VARCHAR", [(f"src/{n}", "never imported by any analyzed source file") for n in ("typed.ts", "dead.js", "data.js", "magic.js", "main.js", "utils.js", "batch1.js", "base64.js", "broken.js")])
+def code_unused_files(spark: SparkSession) -> DataFrame:
+    return source.unused_files(_rows(spark), listing.gate_files(files(spark)), files(spark))
+
+
+@golden("rel_path, message", "VARCHAR, VARCHAR", [("src/main.js", "import ../db/pool.js is banned for src/main.js — layers"), ("src/main.js", "import lodash is banned for src/main.js")])
+def code_banned(spark: SparkSession) -> DataFrame:
+    rules = [("src/**", "db/**", "layers"), ("src/*.js", "lodash", None), ("src/**", "lo*", "late"), ("lib/**", "**", None)]
+    return source.banned_imports(_rows(spark), files(spark), rules)
+
+
+@golden("rel_path, line, message", "VARCHAR, INT, VARCHAR", [("src/magic.js", 1, "hex color outside a constant declaration"), ("src/magic.js", 3, "hex color outside a constant declaration")]
+    + [("src/magic.js", 4, "literal 86400 repeats 3 times — extract a named constant")] * 3 + [("src/magic.js", 5, "literal hello repeats 3 times — extract a named constant")] * 3)
+def code_magic(spark: SparkSession) -> DataFrame:
+    return source.magic_constants(_rows(spark))
+
+
+@golden("rel_path, line, message", "VARCHAR, INT, VARCHAR", [("test/one.test.js", line, f"'{name}' has 0 assertion(s) — a test without assertions verifies nothing") for line, name in ((2, "empty"), (6, "other"), (7, "it"))])
+def code_test_assertions(spark: SparkSession) -> DataFrame:
+    return source.test_assertions(_rows(spark, listing.test_files))
+
+
+@golden("rel_path, message", "VARCHAR, VARCHAR", [("src/utils.js", 'generic name "utils.js" — split by domain instead of accumulating unrelated declarations'), ("src/batch1.js", 'numeric suffix in "batch1.js" — split by domain instead of numbered parts (batch1, part2, v2 ...)')])
+def code_naming(spark: SparkSession) -> DataFrame:
+    return source.file_naming(listing.gate_files(files(spark)))
+
+
+@golden("project, message", "VARCHAR, VARCHAR", [("p", "12 loose files directly in src — group them into feature packages (max 0)")])
+def code_loose(spark: SparkSession) -> DataFrame:
+    return source.folder_structure(listing.loose(files(spark)))
+
+
+@golden("checked, violations, exit_code", "BIGINT, BIGINT, INT", [(27, 1, 2)])
+def code_summary(spark: SparkSession) -> DataFrame:
+    rows = _rows(spark)
+    return gates.summary(source.methods(rows), source.nesting(rows))
+
+
+@golden("rel_path, content", "VARCHAR, VARCHAR", [
+    ("src/i.js", "// é\nfunction f() {\n  const __sextant_start = performance.now();\n  try { return () => 1; } finally { __sextant_record(\"src/i.js|f\", __sextant_start); }\n}\nfunction empty() {}\n"), ("src/bad.js", "}}}"),
+])
+def code_instrumented(spark: SparkSession) -> DataFrame:
+    text = spark.createDataFrame([("p", "src/i.js", "js", "// é\nfunction f() { return () => 1; }\nfunction empty() {}\n"), ("p", "src/bad.js", "js", "}}}")], "project string, rel_path string, ext string, content string")
+    return source.instrumented(source.parsed(text), text)
