@@ -223,5 +223,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.75, b
 
     found = components(links).select(F.col("v").alias("rep"), F.col("label"))
     out = features.select("doc_id", *key).join(classes, key, "left").join(found, "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))

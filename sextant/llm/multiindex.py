@@ -73,7 +73,7 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def _codebook(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Centres by Lloyd's algorithm from rows drawn far apart."""
     r = np.random.default_rng(seed)
-    centres = x[r.integers(len(x))][None]
+    centres = x[r.integers(len(x))][None].copy()
     while len(centres) < min(k, len(x)):
         near = _distances(x, centres).min(axis=1)
         total = near.sum()

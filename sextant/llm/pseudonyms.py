@@ -176,13 +176,16 @@ def pseudonymised(docs: DataFrame, key: str = "sextant", back: bool = False, tex
     """
     # the pattern is applied twice: once to take the values, once to take what is between them
     column = f"`{text}`"
+    name = "_found"
+    while name in docs.columns:
+        name += "_"
     found = F.expr(f"regexp_extract_all({column}, {_text(ANY)}, 0)")
     swapped = F.expr(
-        f"array_join(zip_with(split({column}, {_text(ANY)}, -1), transform(_found, m -> {pseudonym(key, back)}), (b, v) -> concat(b, coalesce(v, ''))), '')"
+        f"array_join(zip_with(split({column}, {_text(ANY)}, -1), transform({name}, m -> {pseudonym(key, back)}), (b, v) -> concat(b, coalesce(v, ''))), '')"
     )
-    return docs.withColumn("_found", found).withColumn(text, F.when(F.size("_found") > 0, swapped).otherwise(F.col(column))).drop("_found")
+    return docs.withColumn(name, found).withColumn(text, F.when(F.size(name) > 0, swapped).otherwise(F.col(column))).drop(name)
 
 
-def pseudonym_of(value: Column, key: str = "sextant", back: bool = False) -> Column:
-    """The pseudonym of a column that holds one value each."""
-    return F.element_at(F.transform(F.array(value), lambda m: F.expr(pseudonym(key, back))), 1)
+def pseudonym_of(column: str, key: str = "sextant", back: bool = False) -> Column:
+    """The pseudonym of a column, given by its SQL, that holds one value each."""
+    return F.expr(f"transform(array({column}), m -> {pseudonym(key, back)})[0]")
