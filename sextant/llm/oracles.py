@@ -46,3 +46,15 @@ s AS (SELECT r, CASE WHEN c3.n IS NOT NULL THEN ln(CAST(c3.n AS DOUBLE) / d2.n)
 m AS (SELECT r, sum(CAST(floor(x * 1e6 + 0.5) AS BIGINT)) AS score FROM s GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(score, 0) AS BIGINT) AS score_micro FROM w LEFT JOIN m USING (r)
 """
+
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a AS v, a AS r FROM link UNION SELECT reach.v, link.b FROM reach JOIN link ON link.a = reach.r),
+low AS (SELECT v, min(r) AS label FROM reach GROUP BY v),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(label, vec_id) AS BIGINT) AS component_id, coalesce(label, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN low ON v = vec_id
+"""

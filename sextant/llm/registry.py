@@ -42,5 +42,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_stupid_backoff": oracles.BACKOFF,
     "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op4_inverted_multi_index": oracles.NEAR_VECTORS,
     "op6_substring_dedup": oracles.REPEATS,
 }
