@@ -55,6 +55,6 @@ link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.
 reach AS (SELECT a AS v, a AS r FROM link UNION SELECT reach.v, link.b FROM reach JOIN link ON link.a = reach.r),
 low AS (SELECT v, min(r) AS label FROM reach GROUP BY v),
 n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
-SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(label, vec_id) AS BIGINT) AS component_id, coalesce(label, vec_id) = vec_id AS kept
-FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN low ON v = vec_id
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(low.label, vec_id) AS BIGINT) AS component_id, coalesce(low.label, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.v = vec_id
 """
