@@ -28,7 +28,7 @@ from . import text as T
 from .common import cut, release
 
 U = np.uint64
-#: A position also holds 16 bits of its row's content above this bit, so that rows of one doc_id keep apart.
+#: Where a doc_id occurs twice, a position also holds 16 bits of its row's content above this bit, which keeps rows apart.
 TAG = 40
 
 
@@ -68,15 +68,25 @@ def _minimizers(window: int, minimizer: int):
     return run
 
 
-def _tags(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """16 bits of each row's content, shifted above its positions."""
+def _tags(h: np.ndarray, at: np.ndarray, tagged: bool) -> np.ndarray:
+    """16 bits of each row's content, shifted above its positions; zeros where no doc_id occurs twice."""
+    if not tagged:
+        return np.zeros(len(at) - 1, dtype=np.int64)
     total = np.concatenate(([U(0)], np.cumsum(T.mix(h * (np.arange(len(h), dtype=U) - np.repeat(at[:-1], np.diff(at)).astype(U) + U(1))), dtype=U)))
     return ((T.mix(total[at[1:]] - total[at[:-1]]) >> U(48)) << U(TAG)).astype(np.int64)
 
 
-def _edges(window: int, minimizer: int):
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j in T.slices(batch.column("text")):
+            part = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), T.squeezed(part.column("text"))], names=["doc_id", "text"])
+
+
+def _edges(window: int, minimizer: int, tagged: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, h, at in _rows(batches):
+        for part, text in ((b.slice(i, j - i), t) for b in batches for i, j, t in T.expanded(b.column("text"))):
+            h, at = T.word_hashes(text, lower=False)
             start, row, low = _windows(h, at, window, minimizer)
             if not len(start):
                 continue
@@ -87,7 +97,7 @@ def _edges(window: int, minimizer: int):
                 if of[r + 1] > of[r]:
                     take[of[r] : of[r + 1]] = np.isin(low[of[r] : of[r + 1]].view(np.int64), shared[r].values.to_numpy())
             start, row = start[take], row[take]
-            pos = start - at[row] + _tags(h, at)[row]
+            pos = start - at[row] + _tags(h, at, tagged)[row]
             yield pa.RecordBatch.from_arrays([pa.array(T.grams(h, window)[start].view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array(pos)], names=["edge", "doc_id", "pos"])
 
     return run
@@ -112,17 +122,24 @@ def _low(pos: np.ndarray) -> np.ndarray:
     return pos & ((1 << TAG) - 1)
 
 
-def _source_checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, h, at in _rows(batches):
-        (start, row), (length, _) = _list(part, "starts"), _list(part, "lengths")
-        mine = (start - _low(start) == _tags(h, at)[row]) & (at[row] + _low(start) + length <= at[row + 1])
-        start, row, length = start[mine], row[mine], length[mine]
-        if len(row):
-            check = _checks(h, at[row] + _low(start), length)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(check)], names=["src_doc", "src_start", "length", "check"])
+def _source_checks(tagged: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, h, at in _rows(batches):
+            (start, row), (length, _) = _list(part, "starts"), _list(part, "lengths")
+            mine = (start - _low(start) == _tags(h, at, tagged)[row]) & (at[row] + _low(start) + length <= at[row + 1])
+            start, row, length = start[mine], row[mine], length[mine]
+            if len(row):
+                check = _checks(h, at[row] + _low(start), length)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(check)], names=["src_doc", "src_start", "length", "check"])
+
+    return run
+
 
+def _removal(tagged: bool):
+    return lambda batches: _removed(batches, tagged)
 
-def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _removed(batches: Iterator[pa.RecordBatch], tagged: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in T.slices(batch.column("text")):
             part = batch.slice(i, j - i)
@@ -132,7 +149,7 @@ def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (start, row), (length, _), (check, _) = (_list(part, c) for c in ("starts", "lengths", "checks"))
             if len(row):
                 h = T.hash_spans(buf, starts, ends, lower=False)
-                mine = (start - _low(start) == _tags(h, at)[row]) & (at[row] + _low(start) + length <= at[row + 1])
+                mine = (start - _low(start) == _tags(h, at, tagged)[row]) & (at[row] + _low(start) + length <= at[row + 1])
                 start, row, length, check = start[mine], row[mine], length[mine], check[mine]
                 a = at[row] + _low(start)
                 good = _checks(h, a, length) == check
@@ -164,18 +181,25 @@ def _cover(edge: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1], dtype=np.int8) > 0
 
 
+def repeated_ids(docs: DataFrame) -> bool:
+    """Whether any doc_id occurs twice."""
+    return not docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def repeated_spans(docs: DataFrame, window: int = 13, minimizer: int = 7) -> DataFrame:
     """Paths of the graph at their later occurrences: doc_id, start, length in words, src_doc, src_start.
 
-    Every window of a document that also starts in a document with a smaller doc_id lies in one of its spans; starts
-    hold a content tag above bit TAG. Null doc_ids and texts, and texts shorter than the window, have none.
+    Every window of a document that also starts in a document with a smaller doc_id lies in one of its spans; where a
+    doc_id occurs twice, starts hold a content tag above bit TAG. Null doc_ids and texts, and texts shorter than the window, have none.
     """
     docs = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     low = docs.mapInArrow(_minimizers(window, minimizer), "m long, doc_id long")
     shared = low.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("m")
     wanted = cut(low.join(shared, "m").groupBy("doc_id").agg(F.collect_set("m").alias("shared")))
     release(docs.sparkSession)
-    at = docs.join(wanted, "doc_id").mapInArrow(_edges(window, minimizer), "edge long, doc_id long, pos long")
+    tagged = repeated_ids(docs)
+    texts = docs.mapInArrow(_squeezed, "doc_id long, text binary")
+    at = texts.join(wanted, "doc_id").mapInArrow(_edges(window, minimizer, tagged), "edge long, doc_id long, pos long")
     edges = at.groupBy("edge").agg(F.min("doc_id").alias("src_doc"), F.min_by("pos", "doc_id").alias("src_pos"), F.max("doc_id").alias("last")).filter("src_doc < last").drop("last")
     later = at.join(edges, "edge").filter("src_doc < doc_id").select("doc_id", "pos", "src_doc", (F.col("pos") - F.col("src_pos")).alias("diagonal"))
     own = Window.partitionBy("doc_id", "src_doc", "diagonal").orderBy("pos")
@@ -193,11 +217,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, minimizer: int = 7) -> Dat
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spans = cut(repeated_spans(docs, window, minimizer))
+    tagged = repeated_ids(docs)
     release(docs.sparkSession)
     ask = spans.select("src_doc", "src_start", "length").distinct()
     ask = ask.groupBy("src_doc").agg(F.collect_list("src_start").alias("starts"), F.collect_list("length").alias("lengths"))
-    source = docs.join(ask.withColumnRenamed("src_doc", "doc_id"), "doc_id").mapInArrow(_source_checks, "src_doc long, src_start long, length long, check long").distinct()
+    source = docs.join(ask.withColumnRenamed("src_doc", "doc_id"), "doc_id").mapInArrow(_source_checks(tagged), "src_doc long, src_start long, length long, check long").distinct()
     checked = spans.join(source, ["src_doc", "src_start", "length"])
     mine = cut(checked.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"), F.collect_list("check").alias("checks")))
     release(docs.sparkSession)
-    return docs.join(mine, "doc_id", "left").select("doc_id", "text", "starts", "lengths", "checks").mapInArrow(_removal, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return docs.join(mine, "doc_id", "left").select("doc_id", "text", "starts", "lengths", "checks").mapInArrow(_removal(tagged), "doc_id long, n_words long, n_removed long, kept_sha256 string")
