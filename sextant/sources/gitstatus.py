@@ -24,3 +24,9 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     """Lines of `git status --porcelain` in a working tree; raises where git does."""
     out = subprocess.run(["git", "-C", root, "status", "--porcelain"], check=True, capture_output=True, text=True).stdout
     return spark.createDataFrame([(line,) for line in out.splitlines()], "line string")
+
+
+def staged(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path of added, copied and modified files in the index with a plain script extension."""
+    out = subprocess.run(["git", "-C", root, "diff", "--cached", "--name-only", "--diff-filter=ACM"], check=True, capture_output=True, text=True).stdout
+    return spark.createDataFrame([(line,) for line in out.splitlines()], "rel_path string").filter(F.col("rel_path").rlike(r"\.(js|mjs|cjs)\z"))

@@ -235,6 +235,8 @@ def test_changed_files(spark, project):
     (project / "src/utils.js").write_text("export const u = 2;\n")
     (project / "src/new.js").write_text("")
     assert sorted(r.rel_path for r in gitstatus.changed(gitstatus.read(spark, str(project))).collect()) == ["src/new.js", "src/utils.js"]
+    git("add", "src/new.js")
+    assert [r.rel_path for r in gitstatus.staged(spark, str(project)).collect()] == ["src/new.js"]
 
 
 def test_stream_of_timings(spark, tmp_path):
