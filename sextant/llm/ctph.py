@@ -71,7 +71,7 @@ def fingerprints(texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
     i = 0
     while i < len(texts):
         j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= 4 << 20):
+        while j < len(texts) and (j == i or n + len(texts[j]) <= 1 << 20):
             n += len(texts[j])
             j += 1
         buf = np.frombuffer(b"".join(texts[i:j]), dtype=np.uint8)

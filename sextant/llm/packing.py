@@ -41,7 +41,7 @@ def _pieces(path: str, window: int, separator: int):
         seen = np.zeros(window + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for i, j in T.slices(batch.column(1)):
+            for i, j in T.slices(batch.column(1), 2 << 20):
                 docs = batch.slice(i, j - i)
                 ids, at = vocabulary.encode(docs.column(1))
                 n = np.diff(at) + 1

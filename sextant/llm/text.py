@@ -129,7 +129,7 @@ def squeezed(column: pa.Array) -> pa.Array:
     return pa.array([len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary())
 
 
-def expanded(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, pa.Array]]:
+def expanded(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, pa.Array]]:
     """Row ranges of squeezed texts that hold about `most` bytes each, with their texts."""
     raw = column.to_pylist()
     size = [int.from_bytes(x[:8], "little") for x in raw]
@@ -144,7 +144,7 @@ def expanded(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int,
         i = j
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold about `most` bytes each, one row at least."""
     if not len(column):
         return
