@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sextant.llm.common import WORD, shared_folder, table
 from sextant.llm.discriminant import accepted
 from sextant.llm.minhash import near_duplicates
-from sextant.llm.mixing import mixed_words
+from sextant.llm.mixing import mixed_spans
 from sextant.llm.packing import packed
 from sextant.llm.pseudonyms import pseudonymised
 from sextant.llm.registry import vocabulary_path
@@ -46,16 +46,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes all of a document's words, and one with as many first words of its text as
-    are taken beyond that. Rows of equal doc_id and size share what the mix takes of them evenly."""
-    docs = docs.select(*COLUMNS)
-    taken = mixed_words(docs).groupBy("doc_id", "size").agg(F.expr("sum(taken) div count(*)").alias("taken")).filter("taken > 0")
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    mixed = sized.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size")))
-    times = mixed.withColumn("_words", F.explode(F.expr("filter(concat(array_repeat(size, cast(taken div size as int)), array(taken % size)), n -> n > 0)")))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(first)
-    return times.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """The words of each document that lie in the blocks the mix draws, as often as it draws them: a row for each stretch
+    of adjoining blocks, which is the text itself where all of it is drawn. Each row has a draw of its own."""
+    where = f"{shared_folder(spark)}/mixture-{uuid.uuid4().hex}"  # numbers must not change when rows are read again
+    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).write.parquet(where)
+    docs = spark.read.parquet(where)
+    mixed = docs.join(mixed_spans(docs, "_row"), "_row")
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    # a one-element transform serves as a binding: the text is split once for all of its spans
+    spelt = F.transform(F.array(words), lambda w: F.transform("spans", lambda s: F.when(s.stop - s.first == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(w, (s.first + 1).cast("int"), (s.stop - s.first).cast("int")), ""))))
+    out = mixed.select(*(c for c in COLUMNS if c not in ("text", "n_chars")), F.explode(spelt[0]).alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,16 +73,17 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return s.withColumn("target", F.least(F.col("weight") * level, cap))
 
 
-def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = 64, shard: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = 64, shard: int = 1024, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of docs (doc_id, text, source): placed documents, the draw of each shard, and the slots.
 
-    placed: doc_id, size, sid, source_size, target, start (words of its source before it). draw: sid, shard, slots.
+    placed: doc_id, size, sid, source_size, target, start (words of its source before it) and the columns named in keep,
+    by which rows of equal doc_id and size are placed in turn. draw: sid, shard, slots.
     slots: shard, sid, block, the block's index in its source.
 
     Sizes are words; null and empty texts have none and are in no block. A null source is a source. Rows are documents
     each, whatever their doc_id; an empty table gives empty results.
     """
-    sizes = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sizes = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep))
     rows = max(1, sizes.count())
     s = targets(sizes, list(weights), share, most)
     blocks = F.ceil(F.col("source_size") / block).cast("long")
@@ -94,7 +95,7 @@ def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
     keyed = sizes.join(s.select("sid", F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     keyed = keyed.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, size), {-(-rows // BUCKET_ROWS)})"))
-    placed = running(keyed, "size", ["sid"], "bucket", [F.col("doc_id"), F.col("size")], "start").drop("bucket")
+    placed = running(keyed, "size", ["sid"], "bucket", [F.col("doc_id"), F.col("size"), *map(F.col, keep)], "start").drop("bucket")
 
     chunks = s.filter("taken > 0").withColumn("chunk", F.expr(f"explode(sequence(0, (taken - 1) div {CHUNK_SLOTS}))")).repartition("sid", "chunk")
     ticket = F.expr(f"explode(sequence(chunk * {CHUNK_SLOTS}, least(taken, (chunk + 1) * {CHUNK_SLOTS}) - 1))")
@@ -118,3 +119,20 @@ def mixed_words(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     got = part.join(times, ["sid", "block"], "left").groupBy(*key).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     out = got.unionByName(placed.filter("size = 0").select(*key).withColumn("taken", F.lit(0).cast("long")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_spans(docs: DataFrame, key: str, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = 64, shard: int = 1024) -> DataFrame:
+    """key, size, spans for the rows of docs that the mix of mixed_blocks takes words of; key tells rows apart.
+
+    spans: (first, stop) in words of the row. The words that lie in drawn blocks come as often as these are drawn; of the
+    blocks drawn n times or more, those that adjoin in a row of docs are one span for each n.
+    """
+    placed, _, slots = mixed_blocks(docs, weights, share, most, block, shard, (key,))
+    times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    cover = placed.filter("size > 0").withColumn("block", F.expr(f"explode(sequence(start div {block}, (start + size - 1) div {block}))"))
+    part = cover.join(times, ["sid", "block"]).selectExpr(
+        key, "size", f"greatest(start, block * {block}) - start AS first", f"least(start + size, (block + 1) * {block}) - start AS stop", "explode(sequence(1L, times)) AS nth"
+    )
+    before = F.sum(F.col("stop") - F.col("first")).over(Window.partitionBy(key, "nth").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    runs = part.withColumn("run", F.col("first") - F.coalesce(before, F.lit(0))).groupBy(key, "size", "nth", "run").agg(F.min("first").alias("first"), F.max("stop").alias("stop"))
+    return runs.groupBy(key, "size").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))

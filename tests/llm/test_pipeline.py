@@ -92,3 +92,24 @@ def test_edge_rows_pass_all_stages(spark, docs, empty):
 def test_run(spark):
     got = P.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns) and got.count() > 0
+
+
+def test_mixture_has_the_drawn_blocks(spark):
+    """The words of the drawn blocks, as often as drawn, of long documents and of rows without doc_id or with one twice."""
+    from collections import Counter
+
+    from sextant.llm.mixing import mixed_blocks
+
+    sizes = [(1, 700, "a"), (2, 90, "a"), (None, 300, "a"), (None, 300, "a"), (3, 2000, "b"), (3, 2000, "b"), (4, 900, "c"), (None, 40, "c")]
+    rows = [(i, " ".join(f"d{k}w{j}" for j in range(n)), "en", s, 0) for k, (i, n, s) in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    out = [r.text.split() for r in P.mixture(spark, docs, SF).collect()]
+    for words in out:  # a row is a stretch of one document
+        k, first = re.fullmatch(r"d(\d+)w(\d+)", words[0]).groups()
+        assert words == [f"d{k}w{int(first) + j}" for j in range(len(words))]
+    placed, _, slots = mixed_blocks(docs.selectExpr("*", "cast(regexp_extract(text, 'd([0-9]+)w', 1) as bigint) as k"), keep=("k",))
+    times = Counter((r.sid, r.block) for r in slots.collect())
+    want = Counter()
+    for r in placed.collect():
+        want.update({f"d{r.k}w{j}": times[r.sid, (r.start + j) // 64] for j in range(r.size)})
+    assert Counter(w for words in out for w in words) == +want
