@@ -237,8 +237,21 @@ SELECT 'src/' || l_orderkey || '.js' AS rel_path, CAST(i AS VARCHAR) AS stmt_id,
 """)
 def coverage_documents(spark: SparkSession, d: str) -> DataFrame:
     """Statements of coverage documents, one JSON text for each order that a fixture of every fiftieth order makes."""
+    return _covered(read(spark, d, "lineitem").filter("l_orderkey % 50 = 0"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) % 3 AS span, CAST(l_returnflag <> 'N' AS INT) AS hit, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice, l_returnflag) AS i FROM lineitem)
+SELECT 'src/' || l_orderkey || '.js' AS rel_path, CAST(i AS VARCHAR) AS stmt_id, l_linenumber AS start_line, CAST(l_linenumber + span AS INT) AS end_line, CAST(hit AS BIGINT) AS hits FROM s
+""")
+def coverage_all_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Statements of coverage documents, one JSON text for each order."""
+    return _covered(read(spark, d, "lineitem"))
+
+
+def _covered(items: DataFrame) -> DataFrame:
     w = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_extendedprice, l_returnflag)")
-    s = read(spark, d, "lineitem").filter("l_orderkey % 50 = 0").withColumn("i", w.cast("string"))
+    s = items.withColumn("i", w.cast("string"))
     statement = F.expr("struct(struct(l_linenumber AS line, 0 AS column) AS start, struct(CAST(l_linenumber + CAST(l_quantity AS INT) % 3 AS INT) AS line, 1 AS column) AS end)")
     made = s.groupBy("l_orderkey").agg(
         F.map_from_entries(F.collect_list(F.struct("i", statement))).alias("statementMap"), F.map_from_entries(F.collect_list(F.struct("i", F.expr("CAST(l_returnflag <> 'N' AS INT)")))).alias("s")

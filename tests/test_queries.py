@@ -25,6 +25,12 @@ def test_query(spark, duck, name):
     assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def test_coverage_of_all_orders(spark, duck):
+    got = tabular.QUERIES["coverage_all_documents"](spark, SF)
+    orders, items = duck.sql("SELECT count(DISTINCT l_orderkey), count(*) FROM lineitem").fetchall()[0]
+    assert (got.select("rel_path").distinct().count(), got.count()) == (orders, items)
+
+
 def test_entry(spark):
     import __spark_entry__
 
