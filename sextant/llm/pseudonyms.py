@@ -8,12 +8,13 @@ a round adds to every symbol of one half, modulo its radix, a hash of the other
 of radices, and subtracting in reverse order is its inverse.
 
 Kinds and what their formats keep:
-- card numbers (13-19 digits, Luhn): length and separators; the last digit is the new check digit.
+- card numbers (13-19 digits, Luhn): length and separators; the last digit is the new check digit. In a run of groups of
+  digits, such as a number and its security code, the first and longest row of groups that validates is one.
 - phone numbers (North American): layout; area and exchange codes stay in the range they are in.
 - addresses of hosts (IPv4, octets to 255): the number of digits of each octet.
 - social security numbers (assigned ranges): layout and ranges.
 - dates (year-month-day, or day and month of two digits and year, separated by / or .), from the year 400 on: layout and the cycle of
-  400 years, inside which days are permuted.
+  400 years, inside which days are permuted. What is a date only with the month first stays so.
 - bank accounts (IBAN, modulo 97): country, letters and digits; with new check digits.
 - mail addresses: domain, and the kind of each character before it.
 - access keys and values after password, token, secret or key: prefix, length and alphabet.
@@ -26,16 +27,20 @@ from pyspark.sql import functions as F
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ROUNDS = 8
+#: Most steps of a walk to a day over 12, which three days in five are.
+WALK = 64
 
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9])(?:[Pp]ass(?:word|wd)|[Tt]oken|[Ss]ecret|[Aa]pi[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,128}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?i:pass(?:word|wd)|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,}+"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}([/.])\d{2}\1\d{4})(?!\d)"
+_DAY = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"  # DATE without its group
 HOST = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 PHONE = r"(?<![\d(])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?!\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+# a run goes on to where another kind begins; possessive, as Java then loops where it would recurse
+CARD = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{MAIL}|{SOCIAL}|{_DAY}|{HOST}|{PHONE})\d++)*+"
 ANY = "|".join((MAIL, IBAN, ACCESS, SECRET, SOCIAL, DATE, HOST, PHONE, CARD))
 
 
@@ -101,12 +106,21 @@ def _fields(fields: list[tuple[str, str]], out: str, kind: str, key: str, back:
 
 
 def _card(key: str, back: bool) -> str:
-    digits = "regexp_replace(m, '[ -]', '')"
     symbol = f"case when c in (' ', '-') or q = length(m) - 1 then {_FIXED} else {_symbol(DIGITS)} end"
     new = _chars("m", symbol, "card", key, back)
     body = "substring(w, 1, length(w) - 1)"
     check = f"pmod(-({_luhn(f'''concat(regexp_replace({body}, '[ -]', ''), '0')''')}), 10)"
-    return f"if(({_luhn(digits)}) % 10 = 0, transform(array({new}), w -> concat({body}, cast({check} as string)))[0], m)"
+    card = f"transform(array({new}), w -> concat({body}, cast({check} as string)))[0]"
+    # groups keep the separator behind them; from each on, the longest row of groups that validates is a card
+    groups = "regexp_extract_all(run, '[0-9]+[ -]?', 0)"
+    text = "array_join(slice(g, {i}, {k}), '')"
+    valid = f"transform(array(regexp_replace({text.format(i='i', k='k')}, '[ -]', '')), d -> length(d) between 13 and 19 and {_luhn('d')} % 10 = 0)[0]"
+    longest = f"coalesce(get(filter(sequence(least(19, size(g) - i + 1), 1, -1), k -> {valid}), 0), 0)"
+    step = f"if(i < a.next, a, transform(array({longest}), k -> if(k = 0, a, named_struct('next', i + k, 'spans', concat(a.spans, array(named_struct('i', i, 'k', k, 'after', a.next))))))[0])"
+    spans = f"aggregate(sequence(1, size(g)), named_struct('next', 1, 'spans', cast(array() as array<struct<i: int, k: int, after: int>>)), (a, i) -> {step})"
+    one = f"transform(array(rtrim(' -', {text.format(i='p.i', k='p.k')})), m -> concat({text.format(i='p.after', k='p.i - p.after')}, {card}, substring({text.format(i='p.i', k='p.k')}, length(m) + 1)))[0]"
+    spelt = f"concat(array_join(transform(f.spans, p -> {one}), ''), {text.format(i='f.next', k='size(g) - f.next + 1')})"
+    return f"transform(array(m), run -> transform(array({groups}), g -> transform(array({spans}), f -> {spelt})[0])[0])[0]"
 
 
 def _phone(key: str, back: bool) -> str:
@@ -135,12 +149,22 @@ def _social(key: str, back: bool) -> str:
 
 def _date(key: str, back: bool) -> str:
     iso = "substring(m, 5, 1) = '-'"
-    day = f"if({iso}, try_to_date(m, 'yyyy-MM-dd'), try_to_date(concat(substring(m, 1, 2), '-', substring(m, 4, 2), '-', substring(m, 7)), 'dd-MM-yyyy'))"
-    since = f"datediff({day}, date'0400-01-01')"
+    parsed = lambda form: f"try_to_date(concat(substring(m, 1, 2), '-', substring(m, 4, 2), '-', substring(m, 7)), '{form}')"
+    day = f"if({iso}, try_to_date(m, 'yyyy-MM-dd'), {parsed('dd-MM-yyyy')})"
     whole = "146097"  # days of 400 years, 189 times 773
-    new = f"date_add(date'0400-01-01', cast(({since} div {whole}) * {whole} + f[0].d * 773 + f[1].d as int))"
-    out = f"if({iso}, date_format({new}, 'yyyy-MM-dd'), concat_ws(substring(m, 3, 1), date_format({new}, 'dd'), date_format({new}, 'MM'), date_format({new}, 'yyyy')))"
-    return f"if({day} >= date'0400-01-01', {_fields([('189', f'({since} % {whole}) div 773'), ('773', f'({since} % {whole}) % 773')], out, 'date', key, back)}, m)"
+
+    def new(d: str, kind: str) -> str:
+        since = f"datediff({d}, date'0400-01-01')"
+        out = f"date_add(date'0400-01-01', cast(({since} div {whole}) * {whole} + f[0].d * 773 + f[1].d as int))"
+        return _fields([("189", f"({since} % {whole}) div 773"), ("773", f"({since} % {whole}) % 773")], out, kind, key, back)
+
+    spelt = lambda *parts: "concat_ws(substring(m, 3, 1), " + ", ".join(f"date_format(u, '{x}')" for x in parts) + ")"
+    first = f"transform(array({new('t', 'date')}), u -> if({iso}, date_format(u, 'yyyy-MM-dd'), {spelt('dd', 'MM', 'yyyy')}))[0]"
+    # month first, with a day over 12: permuted among such days alone, by walking until one is met
+    walk = f"aggregate(sequence(2, {WALK}), {new('t', 'month')}, (v, step) -> if(day(v) > 12, v, {new('v', 'month')}))"
+    month = f"transform(array({walk}), u -> {spelt('MM', 'dd', 'yyyy')})[0]"
+    american = f"transform(array({parsed('MM-dd-yyyy')}), t -> if(t >= date'0400-01-01', {month}, m))[0]"
+    return f"transform(array({day}), t -> case when t >= date'0400-01-01' then {first} when t is null and not {iso} then {american} else m end)[0]"
 
 
 def _iban(key: str, back: bool) -> str:
@@ -171,6 +195,7 @@ def pseudonym(key: str, back: bool = False) -> str:
 def pseudonymised(docs: DataFrame, key: str = "sextant", back: bool = False, text: str = "text") -> DataFrame:
     """docs with its text column replaced, other columns untouched; back restores the text.
 
+    A card beside other groups of digits is not always restored: its pseudonym may validate together with them.
     Null stays null and empty stays empty; rows don't affect each other. What the pattern finds but its kind doesn't
     validate is left as it is, as is everything else in the text.
     """

@@ -270,6 +270,26 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(df.limit(0)).count() == 0
 
 
+def test_pseudonyms_of_long_secrets_runs_and_month_first_dates(spark):
+    card, long = "4041894974608795", "9f" * 300
+    hidden = [f"password={long}", f"TOKEN={long}", "PASSWORD=b7db7aa4a5fcc78305", "API_KEY: beb58b8af68854f0", "DB_SECRET=b7db7aa4a5", "12/27/2024", "02.29.2024"]
+    runs = [f"{card} 123", f"{card} 12/27", f"12 {card}", f"{card} {card}", "1234 4041 8949 7460 8795", "12 4041-8949-7460-8795 99", f"{card} 2024-02-29", "4041 8949 7460 8795", "4041-8949-7460-8795"]
+    left = ["13/13/2024", "02/30/2024", f"{card[:-1]}6 123", "12/27/0399", "7" * 20000, " ".join(str(i) for i in range(20, 10000))]
+    df = spark.createDataFrame([(i, f"x {v}, y") for i, v in enumerate(hidden + runs + left)], "doc_id int, text string")
+    once = pseudonyms.pseudonymised(df)
+    got = [r.text[2:-3] for r in once.orderBy("doc_id").collect()]
+    for v, p in zip(hidden, got):
+        assert p != v and len(p) == len(v), (v, p)
+        assert not v.endswith("2024") or shape(p) == shape(v) and int(p[3:5]) > 12
+    back = [r.text[2:-3] for r in pseudonyms.pseudonymised(once, back=True).orderBy("doc_id").collect()]
+    assert back[: len(hidden)] == hidden
+    got = got[len(hidden) :]
+    new = got[0][:16]
+    assert new != card and got[:4] == [f"{new} 123", f"{new} 12/27", f"12 {new}", f"{new} {new}"]
+    assert got[4:6] == [f"1234 {got[7]}", f"12 {got[8]} 99"] and got[7] != runs[7] and got[6].startswith(f"{new} ") and "2024-02-29" not in got[6]
+    assert got[len(runs) : -1] == left[:-1] and shape(got[-1]) == shape(left[-1])
+
+
 def test_pseudonyms_are_a_permutation(spark):
     """All octets of one length, all days of some years: no two values share a pseudonym."""
     hosts = spark.range(90 * 10).select(F.expr("concat(10 + id % 90, '.7.', 100 + id div 90, '.1')").alias("v"))
