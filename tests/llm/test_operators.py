@@ -54,6 +54,25 @@ def test_backoff(docs, empty):
     assert backoff.backoff_scores(empty).count() == 0
 
 
+def test_backoff_over_all_counts(spark):
+    """The registered query over full counts, where an n-gram that occurs once is one."""
+    from sextant.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    data = [(r.doc_id, words(r.text, True)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    count = [Counter(tuple(w[i : i + n]) for _, w in data for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total = sum(count[0].values())
+
+    def score(w, p):
+        n = min(3, p + 1)  # a document's own n-grams are counted, so the longest is always there
+        g = tuple(w[p - n + 1 : p + 1])
+        return math.floor(math.log(count[n - 1][g] / (count[n - 2][g[:-1]] if n > 1 else total)) * 1e6 + 0.5)
+
+    want = {i: (len(w), sum(score(w, p) for p in range(len(w)))) for i, w in data}
+    got = {r.doc_id: (r.n_words, r.score_micro) for r in registry.QUERIES["op1_stupid_backoff_full"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) <= len(w) for i, w in data)
+
+
 def test_near_duplicates(docs, empty):
     sets = {}
     for i, t in rows():
