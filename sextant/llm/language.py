@@ -13,6 +13,7 @@ by joins on the host, domain, declaration and suffix.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ from . import text as T
 from .common import cut
 
 U = np.uint64
-#: Bins of hashed trigrams; labelled documents that are fitted on, about; trigrams that a text counts for at most.
-BINS, FIT_ROWS, MOST = 1 << 14, 20_000, 200
+#: Bins of hashed trigrams; labelled documents that are fitted on, about, in all and of each language at least (or all it
+#: has); trigrams that a text counts for at most.
+BINS, FIT_ROWS, FIT_LEAST, MOST = 1 << 14, 20_000, 200, 200
 #: Strengths of the priors: of a domain over its hosts, of all pages over a domain, of a uniform one over a table.
 HOST, DOMAIN, TABLE = 5.0, 10.0, 2.0
 
@@ -60,16 +62,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fitted(documents: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probabilities of the bins under each, from a sample of about FIT_ROWS labelled documents."""
+    """Languages and the log probabilities of the bins under each, from a sample of about FIT_ROWS labelled documents.
+
+    Every language of the labelled documents is one; a rare one gives FIT_LEAST documents, or all that it has."""
     known = documents.select("lang", "doc_id", "text").filter("lang is not null and text is not null")
-    share = min(1.0, FIT_ROWS / max(1, known.count()))
-    sample = known.filter(F.expr(f"pmod(xxhash64(doc_id, text), 1000000) < {round(share * 1e6)}")).select("lang", "text")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    langs = sorted(sizes)
+    if not langs:
+        return [], np.full((0, BINS), 0.5)
+    share = FIT_ROWS / sum(sizes.values())
+    # in 2**-32, as a share of a language with many documents may be below a millionth
+    parts = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, math.ceil(min(1.0, max(share, FIT_LEAST / n)) * (1 << 32)))))
+    sample = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < F.element_at(parts, F.col("lang"))).select("lang", "text")
     rows = sample.mapInArrow(_counts, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()  # of the sample
-    langs = sorted({r["lang"] for r in rows})
     table = np.full((len(langs), BINS), 0.5)
     for r in rows:
         table[langs.index(r["lang"]), r["bin"]] += r["n"]
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)) if langs else table
+    return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
 def page_text(html: Column) -> Column:

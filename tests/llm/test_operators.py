@@ -379,6 +379,18 @@ def test_languages(spark):
     assert {r.lang for r in language.page_languages(pages, docs.limit(0)).collect()} == {None}
 
 
+def test_rare_languages_are_fitted(spark, monkeypatch):
+    """A language with one labelled document in a thousand is among those that can be predicted."""
+    monkeypatch.setattr(language, "FIT_ROWS", 10)
+    monkeypatch.setattr(language, "FIT_LEAST", 5, raising=False)
+    rare = "der hund und die katze sind nicht in einem haus"
+    docs = spark.createDataFrame([(i, f"the cat and dog number {i}", "en") for i in range(999)] + [(-1, rare, "de"), (-2, "1 2", "none")], "doc_id long, text string, lang string")
+    langs, table = language.fitted(docs)
+    assert langs == ["de", "en", "none"] and table.shape == (3, language.BINS)
+    pages = spark.createDataFrame([(1, "http://a.example.de/", f"<p>{rare}")], "page_id long, url string, html string")
+    assert language.page_languages(pages, docs).first().lang == "de"
+
+
 def test_quality(spark, docs, empty):
     texts = [t for _, t in rows()]
     data = [(i, f"{t or ''} fine words here." if i % 2 else " ".join(f"{w}###" for w in (t or "a b").upper().split())) for i, t in enumerate(texts * 4)]
