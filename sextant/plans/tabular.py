@@ -2,7 +2,9 @@
 
 The tables hold no source code, so their columns stand in for it: an order is a file or class, its line items are
 statements or members, and so on. Each query calls the operator that serves source code, with its real parameters
-unless a comment says otherwise; the parser's own queries are in plans.golden.
+unless a comment says otherwise; the parser's own queries are in plans.golden. loose_files and coverage_json_explode are
+plain analogues, which call no operator: that of loose files runs in golden, coverage.statements in the two queries of
+coverage documents.
 """
 
 from __future__ import annotations
