@@ -1,14 +1,20 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
-The count tables hold all words and the longer n-grams that occur min_count times or more; a longer n-gram that isn't
-in its table backs off, at the cost of the factor alpha, to the n-gram without its first word.
-
-Tables are partitioned by hash. For each order the documents are exploded into n-gram hashes by batches of documents;
-each batch states its distinct n-grams once, with their counts, to the partitions of the table, which join all
-statements, add them up and answer with the totals in the order asked. Statements and answers are packed columns, a row
-for each batch and partition, so an n-gram costs eight bytes on the wire once for each batch and a frequent one never
-meets in one task as rows. An n-gram can only be frequent enough if both its parts are, so an order asks only for those
-whose parts the table of the order before has: most long n-grams are never sent.
+A document is scored by the others: its own occurrences are taken from every count, else each of its n-grams would be
+known and nothing would back off. No count is left out and none has a floor.
+
+1. Texts are put into batches, which are written once: what follows reads the same rows however often.
+2. For each order, batches are exploded into n-grams. An exploded row holds the distinct n-gram hashes of one batch that
+   belong to one part of the hash range, sorted, as packed columns: an n-gram takes six bytes on the wire, once for each
+   batch, and a frequent one meets as one entry for each batch, never as rows.
+3. The count table of the order, partitioned by hash: a grouped aggregate of the exploded rows, one row for each part with
+   its hashes and totals. N-grams that occur once are not stored: less their own document's occurrence they are 0.
+4. The exploded rows are joined to the table by part and answered with totals in the order asked.
+5. Answers meet their batch, where a document's own counts are taken off, words are scored and documents summed.
+
+The rows of an exchange are batches times parts, both in proportion to the input: with the defaults a terabyte makes
+10^10 of them, each with hundreds of n-grams. batch_bytes and part_words grow with the memory of an executor (a task takes
+about 40 and 30 bytes for each); at 100 TB, 128 MB and 64 million leave the same number of n-grams to a row.
 """
 
 from __future__ import annotations
@@ -18,166 +24,213 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .blocks import groups
-from .common import cut, pieces, release
+from .common import cut, written
 
 U = np.uint64
-#: Bytes of text in a batch; what a task holds at once follows from it.
-BATCH_BYTES = 4 << 20
+_BATCH = "batch long, words long, docs binary"
+_EXPLODED = "part int, batch long, hashes binary, counts binary"
+_TABLE = "part int, hashes binary, totals binary"
+_ANSWER = "batch long, n int, part int, totals binary"
+_SCORED = "doc_id long, n_words long, score_micro long"
 
 
-def _parts(hashes: np.ndarray, count: int) -> np.ndarray:
-    """Where sorted hashes pass from one partition of the table to the next: count + 1 offsets."""
-    edges = (np.arange(count, dtype=object) * (1 << 64) + count - 1) // count
-    return np.append(np.searchsorted(hashes, np.array([int(e) for e in edges], dtype=U)), len(hashes))
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes and words of each batch of texts."""
-    for batch in batches:
-        for i, j in T.slices(batch.column(0)):
-            buf, at = T.flat(batch.column(0).slice(i, j - i))
-            yield pa.RecordBatch.from_arrays([pa.array([len(buf)]), pa.array([T.words(buf, at)[2][-1]])], names=["bytes", "words"])
+def _expand(x: bytes) -> bytes:
+    n = int.from_bytes(x[:8], "little")
+    return pa.decompress(x[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b""
 
 
 def _packed(a: np.ndarray) -> bytes:
-    """Counts as compressed 64-bit integers behind their number."""
-    raw = a.astype(np.int64).tobytes()
-    return len(a).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Integers of 64 bits by planes of equal bytes, of which the high ones shrink to nothing."""
+    return _squeeze(np.ascontiguousarray(a.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    n = int.from_bytes(x[:8], "little")
-    return np.frombuffer(pa.decompress(x[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.int64)
+    planes = np.frombuffer(_expand(x), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(U).ravel()
 
 
-class _Batch:
-    """A batch's n-grams: for each order, its distinct hashes and the place of each text position among them (or -1)."""
+def _sorted_packed(h: np.ndarray) -> bytes:
+    """Rising hashes as their differences."""
+    return _packed(np.diff(h, prepend=U(0)))
 
-    def __init__(self, docs: pa.Table) -> None:
-        cols = [T.word_hashes(c, lower=True) for c in docs["text"].chunks]
-        self.words = np.concatenate([c[0] for c in cols]) if cols else np.empty(0, dtype=U)
-        size = np.concatenate([np.diff(c[1]) for c in cols]) if cols else np.empty(0, np.int64)
-        self.at = np.concatenate(([0], np.cumsum(size)))
-        self.left = np.arange(len(self.words)) - np.repeat(self.at[:-1], size)
-        self.total: list[np.ndarray] = []
 
-    def ask(self, n: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes of the n-grams to look up, their counts here, and each end position's place among them."""
-        place = np.full(len(self.words), -1, dtype=np.int64)
-        g = T.grams(self.words, n)
-        end = np.arange(len(g)) + n - 1
-        keep = self.left[end] >= n - 1
-        if n > 1:
-            known = self.total[n - 2]
-            keep &= (known[end - 1] >= min_count) & (known[end] >= min_count)
-        end, g = end[keep], g[keep]
-        distinct, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
-        place[end] = inverse
-        return distinct, count, place
-
-    def learn(self, n: int, min_count: int, answers: dict[int, np.ndarray]) -> None:
-        """Takes the answers for an order: totals by end position, 0 where the table has none."""
-        distinct, _, place = self.ask(n, min_count)
-        found = np.concatenate([answers[k] for k in sorted(answers)]) if answers else np.empty(0, np.int64)
-        if len(found) != len(distinct):
-            raise ValueError(f"{len(found)} answers to {len(distinct)} n-grams")
-        if n > 1:
-            found = np.where(found >= min_count, found, 0)
-        self.total.append(np.where(place >= 0, np.append(found, 0)[place], 0))
-
-
-def _learned(docs: pa.Table, counts: pa.Table, order: int, min_count: int) -> _Batch:
-    b = _Batch(docs)
-    for n in range(1, order + 1):
-        t = counts.filter(pc.equal(counts["n"], n))
-        b.learn(n, min_count, {p: _unpacked(x) for p, x in zip(t["part"].to_pylist(), t["totals"].to_pylist(), strict=True)})
-    return b
+def _sorted_unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(x), dtype=U)
 
 
-_ASK = "part int, batch long, hashes binary, counts binary"
-_ANSWER = "batch long, n int, part int, totals binary"
+def _parts(hashes: np.ndarray, count: int) -> np.ndarray:
+    """Where sorted hashes pass from one of `count` equal parts of their range to the next: count + 1 offsets."""
+    return np.searchsorted((hashes >> U(32)) * U(count) >> U(32), np.arange(count + 1, dtype=U))
 
 
-def _statements(n: int, min_count: int, parts: int):
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        b = _learned(docs, counts, n - 1, min_count)
-        distinct, count, _ = b.ask(n, min_count)
-        at = _parts(distinct, parts)
-        full = np.flatnonzero(np.diff(at))
-        batch = docs["batch"][0].as_py()
-        return pa.table(
-            {
-                "part": pa.array(full, pa.int32()),
-                "batch": pa.array([batch] * len(full), pa.int64()),
-                "hashes": pa.array([distinct[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()),
-                "counts": pa.array([_packed(count[at[k] : at[k + 1]]) for k in full], pa.binary()),
-            }
-        )
+def _batches(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, nth, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            n = sum(len(T.words(*T.flat(c.slice(i, j - i)))[0]) for c in t["text"].chunks for i, j in T.slices(c))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(t)
+            return pa.RecordBatch.from_arrays([pa.array([first + nth]), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "words", "docs"])
+
+        for batch in batches:
+            for i, j in T.slices(batch.column(1)):
+                part = batch.slice(i, j - i)
+                now = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+                if held and size + now > most:
+                    yield flush()
+                    nth, held, size = nth + 1, [], 0
+                held.append(part)
+                size += now
+        if held:
+            yield flush()
 
-    return lambda key, docs, counts: run(docs, counts) if docs.num_rows else pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]).empty_table()
+    return run
 
 
-def _table(n: int):
-    """One partition of the count table: all statements added up, and each answered."""
+class _Grams:
+    """A batch's documents and words, and for each order its n-grams."""
 
+    def __init__(self, docs: bytes) -> None:
+        with pa.ipc.open_stream(docs) as r:
+            t = r.read_all()
+        self.ids = t["doc_id"]
+        cols = [T.word_hashes(c, lower=True) for c in t["text"].chunks]
+        self.words = np.concatenate([c[0] for c in cols]) if cols else np.empty(0, dtype=U)
+        size = np.concatenate([np.diff(c[1]) for c in cols]) if cols else np.empty(0, np.int64)
+        self.at = np.concatenate(([0], np.cumsum(size)))
+        self.row = np.repeat(np.arange(len(size)), size)
+        self.left = np.arange(len(self.words)) - self.at[self.row]
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the last words of the n-grams inside documents, and the n-grams' hashes."""
+        g = T.grams(self.words, n)
+        end = np.arange(len(g)) + n - 1
+        keep = self.left[end] >= n - 1
+        return end[keep], g[keep]
+
+    def others(self, n: int, totals: np.ndarray) -> np.ndarray:
+        """For each position, how often other documents have the n-gram that ends there, by the totals of the distinct
+        n-grams in order; 0 where none ends."""
+        end, g = self.of(n)
+        distinct, inverse = np.unique(g, return_inverse=True)
+        if len(totals) != len(distinct):
+            raise ValueError(f"{len(totals)} answers to {len(distinct)} n-grams")
+        out = np.zeros(len(self.words), dtype=np.int64)
+        some = totals[inverse] > 1
+        end, inverse = end[some], inverse[some]
+        _, own, own_count = np.unique(inverse * len(self.at) + self.row[end], return_inverse=True, return_counts=True)
+        out[end] = totals[inverse] - own_count[own]
+        return out
+
+
+def _exploded(n: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["part"]):
-            hashes = [np.frombuffer(x, dtype=U) for x in t["hashes"].to_pylist()]
-            counts = np.concatenate([_unpacked(x) for x in t["counts"].to_pylist()])
-            _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
-            at = np.cumsum([0, *map(len, hashes)])
-            yield pa.RecordBatch.from_arrays(
-                [t["batch"].combine_chunks(), pa.array([n] * len(t), pa.int32()), t["part"].combine_chunks(), pa.array([_packed(total[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                names=["batch", "n", "part", "totals"],
-            )
+        for b in batches:
+            for batch, docs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                distinct, count = np.unique(_Grams(docs).of(n)[1], return_counts=True)
+                at = _parts(distinct, parts)
+                full = np.flatnonzero(np.diff(at))
+                blobs = [[f(a[at[k] : at[k + 1]]) for k in full] for f, a in ((_sorted_packed, distinct), (_packed, count))]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch] * len(full), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], schema=_schema(_EXPLODED))
 
     return run
 
 
-def _scores(order: int, alpha: float, min_count: int, words: int):
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        b = _learned(docs, counts, order, min_count)
-        score = np.log(b.total[0] / words) if words else np.empty(0)
-        score = score + np.minimum(b.left, order - 1) * np.log(alpha)
-        for n in range(2, order + 1):
-            has = b.total[n - 1] > 0
-            before = np.concatenate(([0], b.total[n - 2][:-1]))
-            lost = np.minimum(b.left[has], order - 1) - (n - 1)
-            score[has] = np.log(b.total[n - 1][has] / before[has]) + lost * np.log(alpha)
-        micro = np.concatenate(([0], np.cumsum(np.floor(score * 1e6 + 0.5).astype(np.int64))))
-        return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(np.diff(b.at)), "score_micro": pa.array(micro[b.at[1:]] - micro[b.at[:-1]])})
+def _counted(rows: pa.Table) -> pa.Table:
+    """One part of the count table."""
+    hashes = np.concatenate([_sorted_unpacked(x) for x in rows["hashes"].to_pylist()])
+    order = np.argsort(hashes, kind="stable")  # runs that are sorted already
+    hashes, counts = hashes[order], np.concatenate([_unpacked(x) for x in rows["counts"].to_pylist()])[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, np.int64)
+    hashes, totals = hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+    some = totals > 1
+    return pa.Table.from_arrays([rows["part"].slice(0, 1).combine_chunks(), pa.array([_sorted_packed(hashes[some])], pa.binary()), pa.array([_packed(totals[some])], pa.binary())], schema=_schema(_TABLE))
+
+
+def _answered(n: int):
+    """The exploded rows of a part joined to its row of the table: each one's totals, 0 for n-grams it has not."""
+
+    def run(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _schema(_ANSWER).empty_table()
+        known, totals = _sorted_unpacked(counts["hashes"][0].as_py()), _unpacked(counts["totals"][0].as_py())
+        out = []
+        for x in rows["hashes"].to_pylist():
+            asked = _sorted_unpacked(x)
+            place = np.searchsorted(known, asked)
+            hit = place < len(known)
+            hit[hit] = known[place[hit]] == asked[hit]
+            got = np.zeros(len(asked), dtype=U)
+            got[hit] = totals[place[hit]]
+            out.append(_packed(got))
+        return pa.Table.from_arrays([rows["batch"].combine_chunks(), pa.array([n] * len(rows), pa.int32()), rows["part"].combine_chunks(), pa.array(out, pa.binary())], schema=_schema(_ANSWER))
+
+    return run
 
-    return lambda key, docs, counts: run(docs, counts) if docs.num_rows else pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score_micro", pa.int64())]).empty_table()
+
+def _scores(order: int, alpha: float, words: int):
+    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        done = []
+        for raw in docs["docs"].to_pylist():  # one
+            b = _Grams(raw)
+            count = []
+            for n in range(1, order + 1):
+                t = answers.filter(pc.equal(answers["n"], n)).sort_by("part")
+                count.append(b.others(n, np.concatenate([np.empty(0, U), *map(_unpacked, t["totals"].to_pylist())]).astype(np.int64)))
+            most = np.minimum(b.left, order - 1)  # words of history that a word can have
+            rest = np.maximum(words - np.diff(b.at), 1)[b.row]
+            score = np.log(np.maximum(count[0], 1) / rest) + most * np.log(alpha)
+            for n in range(2, order + 1):
+                has = count[n - 1] > 0
+                before = np.concatenate(([0], count[n - 2][:-1]))
+                score[has] = np.log(count[n - 1][has] / before[has]) + (most[has] - (n - 1)) * np.log(alpha)
+            micro = np.concatenate(([0], np.cumsum(np.floor(score * 1e6 + 0.5).astype(np.int64))))
+            done.append(pa.Table.from_arrays([b.ids.combine_chunks(), pa.array(np.diff(b.at)), pa.array(micro[b.at[1:]] - micro[b.at[:-1]])], schema=_schema(_SCORED)))
+        return pa.concat_tables(done) if done else _schema(_SCORED).empty_table()
+
+    return run
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
-    """doc_id, n_words, score_micro, mean_score for each row of docs (doc_id, text).
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, batch_bytes: int = 8 << 20, part_words: int = 2_000_000) -> DataFrame:
+    """doc_id, n_words, score_micro, mean_micro for each row of docs (doc_id, text).
 
-    score_micro is the document's summed log score in millionths, each word's rounded; mean_score is its mean for a
-    word, in natural logarithms, null without words. Words are runs of other than white space, A-Z folded; n-grams
-    don't cross documents, and a document's first words have no longer ones and pay no backoff for it.
+    score_micro is the document's summed log score in millionths, each word's rounded; mean_micro is that for a word,
+    rounded down, null without words. A word scores log(c(n-gram) / c(its first words)) under the longest n-gram up to
+    `order` that other rows have, plus log(alpha) for each word of history given up for that; one that no other row has
+    scores as if one had it once, of all their words. Words are runs of other than white space, A-Z folded; n-grams
+    don't cross documents, and a document's first words have no longer ones and pay nothing for it.
 
-    Null and empty texts have no words and score 0. Rows are scored on their own, whatever their doc_id, null or
-    repeated; repeated rows count as often as they occur. An empty table gives an empty result.
+    Null and empty texts have no words and score 0. Rows are documents each, whatever their doc_id, null or repeated:
+    repeated rows know each other. A text of any length is one row, scored whole, and takes about 40 bytes of a task's
+    memory for each of its own. There are no ties to break. Other columns of docs are ignored, whatever their names. An
+    empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = docs.select("text").mapInArrow(_sizes, "bytes long, words long").agg(F.sum("bytes").alias("bytes"), F.sum("words").alias("words")).first()
-    words, batches = size["words"] or 0, max(1, -(-(size["bytes"] or 0) // BATCH_BYTES))
-    parts = max(1, batches // 2)
-    docs = docs.withColumn("batch", F.expr(f"pmod(xxhash64(doc_id, text), {batches})"))
-    counts = spark.createDataFrame([], _ANSWER)
+    texts = written(docs.mapInArrow(_batches(batch_bytes), _BATCH), "batches")
+    words = texts.agg(F.sum("words")).first()[0] or 0
+    parts = max(1, -(-words // part_words))
+    answers = None
     for n in range(1, order + 1):
-        asked = docs.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(_statements(n, min_count, parts), _ASK)
-        answers = asked.repartition(pieces(spark), "part").sortWithinPartitions("part").mapInArrow(_table(n), _ANSWER)
-        counts = cut(counts.union(answers))
-        del asked, answers
-        release(spark)
-    out = docs.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(_scores(order, alpha, min_count, words), "doc_id long, n_words long, score_micro long")
-    return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score_micro") / F.col("n_words") / 1_000_000))
+        exploded = texts.select("batch", "docs").mapInArrow(_exploded(n, parts), _EXPLODED).groupBy("part")
+        counts = exploded.applyInArrow(_counted, _TABLE)
+        got = cut(exploded.cogroup(counts.groupBy("part")).applyInArrow(_answered(n), _ANSWER))
+        answers = got if answers is None else answers.union(got)
+    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scores(order, alpha, words), _SCORED)
+    return out.withColumn("mean_micro", F.expr("if(n_words > 0, cast(floor(score_micro / n_words) as bigint), null)"))

@@ -1,15 +1,16 @@
-"""What the corpus operators share: reading tables, cutting lineage, connected components."""
+"""What the corpus operators share: reading tables, cutting lineage, joins with hot keys, connected components."""
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is hot if it has more than one in so many of all rows; there are fewer hot keys than this.
+HOT_SHARE = 1000
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,30 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate rows: spark.checkpoint.dir as the session has it; where it is unset, one of our own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    return spark.sparkContext.getCheckpointDir()
-
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """Marks a folder for removal when the driver ends, whichever way."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable storage, so that a lost executor costs no more than a reread."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for intermediate rows, inside spark.checkpoint.dir; where that is unset, inside the warehouse,
+    which driver and executors share. It goes when the driver ends."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    folder = context.getCheckpointDir()
+    if getattr(context, "_sextant_folder", None) != folder:
+        _at_exit(spark, folder)
+        context._sextant_folder = folder
+    return folder
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files behind frames that have been cut and are no longer referenced.
 
-    It does so once the heaps of Python and of the driver have been swept, which may otherwise take until the disks are
-    full. Called between the phases of operators that shuffle much.
-    """
-    spark.range(1).count()  # the listeners' queues hold on to the last query that ended until another has
-    gc.collect()
-    time.sleep(1.2)  # references of Python to the driver's heap are returned by a thread that wakes once a second
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from reliable storage, so that a lost executor costs no more than a reread; the shuffle files that led
+    to them are dropped at once."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan made under that setting
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table of their own in the shared folder, where they stay as they are however often read."""
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(where)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.parquet(where)
 
 
 def pieces(spark: SparkSession) -> int:
@@ -48,11 +68,32 @@ def pieces(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, copies: str, total: int, spread: list[Column]) -> DataFrame:
+    """rows left-joined with facts (one row for each key, with the number of rows that have it in `copies`, which is not
+    kept), whatever share of the rows a key has.
+
+    Facts of hot keys, those of more than one row in HOT_SHARE, are fewer than HOT_SHARE and are broadcast; rows that
+    they serve, and rows without key, then go through the other join spread by a hash of `spread`, where they meet
+    nothing. facts must have been cut, as they are read twice. Names that start with _hot_ are taken.
+    """
+    names = [c for c in facts.columns if c not in (key, copies)]
+    limit = F.col(copies) * HOT_SHARE > F.lit(int(total))
+    hot = facts.filter(limit).select(F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot_facts"))
+    rare = facts.filter(~limit).select(F.col(key).alias("_hot_rare"), F.struct(*names).alias("_hot_more"), F.lit(False).alias("_hot_no"))
+    served = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn("_hot_done", F.col("_hot_facts").isNotNull() | F.col(key).isNull())
+    kind = rows.schema[key].dataType
+    filler = F.xxhash64(*spread).cast(kind)
+    out = served.withColumn("_hot_on", F.when(F.col("_hot_done"), filler).otherwise(F.col(key)))
+    out = out.join(rare, (F.col("_hot_on") == F.col("_hot_rare")) & (F.col("_hot_done") == F.col("_hot_no")), "left")
+    found = F.coalesce("_hot_facts", "_hot_more")
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(found[n].alias(n) for n in names))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: (v, label) for each vertex of edges (a, b), label the smallest vertex reachable.
 
-    Rounds of neighbour minimum and pointer jumping; each is a few joins on the vertex, whose hot keys AQE can split,
-    and is cut by a checkpoint. Nothing is gathered but the number of changed labels.
+    Rounds of neighbour minimum and pointer jumping; each is a few joins on the vertex, of which AQE splits what is larger
+    than a partition should be, and is cut by a checkpoint. Nothing is gathered but whether a label changed.
     """
     e = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))

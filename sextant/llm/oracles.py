@@ -32,19 +32,22 @@ BACKOFF = r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM documents),
-pos AS (SELECT r, p, ws[p] AS g1, CASE WHEN p > 1 THEN array_to_string(ws[p - 1:p], ' ') END AS g2, CASE WHEN p > 2 THEN array_to_string(ws[p - 2:p], ' ') END AS g3,
-               CASE WHEN p > 1 THEN ws[p - 1] END AS h1, CASE WHEN p > 2 THEN array_to_string(ws[p - 2:p - 1], ' ') END AS h2
+pos AS (SELECT r, p, ws[p] AS g1, CASE WHEN p > 1 THEN array_to_string(ws[p - 1:p], ' ') END AS g2, CASE WHEN p > 2 THEN array_to_string(ws[p - 2:p], ' ') END AS g3
         FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
-c1 AS (SELECT g1 AS g, count(*) AS n FROM pos GROUP BY 1),
-c2 AS (SELECT g2 AS g, count(*) AS n FROM pos WHERE g2 IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
-c3 AS (SELECT g3 AS g, count(*) AS n FROM pos WHERE g3 IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
-total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pos),
-s AS (SELECT r, CASE WHEN c3.n IS NOT NULL THEN ln(CAST(c3.n AS DOUBLE) / d2.n)
-                     WHEN c2.n IS NOT NULL THEN ln(CAST(c2.n AS DOUBLE) / d1.n) + (least(p - 1, 2) - 1) * ln(0.4e0)
-                     ELSE ln(c1.n / total.n) + least(p - 1, 2) * ln(0.4e0) END AS x
-      FROM pos JOIN c1 ON c1.g = g1 LEFT JOIN c2 ON c2.g = g2 LEFT JOIN c3 ON c3.g = g3 LEFT JOIN c1 d1 ON d1.g = h1 LEFT JOIN c2 d2 ON d2.g = h2, total),
+c AS (SELECT r, p,
+             count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY g1, r) AS c1, count(*) OVER () - count(*) OVER (PARTITION BY r) AS n,
+             CASE WHEN g2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY g2, r) END AS c2,
+             CASE WHEN g3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY g3, r) END AS c3
+      FROM pos),
+h AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY p) AS h1, lag(c2) OVER (PARTITION BY r ORDER BY p) AS h2 FROM c),
+s AS (SELECT r, CASE WHEN c3 > 0 THEN ln(CAST(c3 AS DOUBLE) / h2)
+                     WHEN c2 > 0 THEN ln(CAST(c2 AS DOUBLE) / h1) + (least(p - 1, 2) - 1) * ln(0.4e0)
+                     ELSE ln(CAST(greatest(c1, 1) AS DOUBLE) / greatest(n, 1)) + least(p - 1, 2) * ln(0.4e0) END AS x
+      FROM h),
 m AS (SELECT r, sum(CAST(floor(x * 1e6 + 0.5) AS BIGINT)) AS score FROM s GROUP BY r)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(score, 0) AS BIGINT) AS score_micro FROM w LEFT JOIN m USING (r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(score, 0) AS BIGINT) AS score_micro,
+       CASE WHEN len(ws) > 0 THEN CAST(floor(CAST(coalesce(score, 0) AS DOUBLE) / len(ws)) AS BIGINT) END AS mean_micro
+FROM w LEFT JOIN m USING (r)
 """
 
 NEAR_VECTORS = """

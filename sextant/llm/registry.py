@@ -28,9 +28,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_stupid_backoff": lambda spark, d: backoff_scores(table(spark, d, "documents")).drop("mean_score"),
-    # every n-gram counts; the SQL of the query before counts those that occur twice
-    "op1_stupid_backoff_full": lambda spark, d: backoff_scores(table(spark, d, "documents"), min_count=1).drop("mean_score"),
+    "op1_stupid_backoff": lambda spark, d: backoff_scores(table(spark, d, "documents")),
     "op2_minhash_near_dedup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op3_nnls_packing": lambda spark, d: packed(table(spark, d, "documents"), vocabulary_path()),
     "op4_inverted_multi_index": lambda spark, d: near_vectors(table(spark, d, "embeddings")),

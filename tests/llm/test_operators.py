@@ -35,42 +35,39 @@ def reached(links, ids):
     return label
 
 
-def test_backoff(docs, empty):
-    data = rows()
+def backoff_by_hand(data):
     texts = [words(t, True) for _, t in data]
-    count = [Counter(tuple(w[i : i + n]) for w in texts for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
-    total = sum(count[0].values())
+    own = [[Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for n in (1, 2, 3)] for w in texts]
+    count = [sum((o[n] for o in own), Counter()) for n in range(3)]
+    total = sum(map(len, texts))
 
-    def score(w, p):
+    def score(k, p):
+        w = texts[k]
+        others = lambda g: count[len(g) - 1][g] - own[k][len(g) - 1][g]
         for n in range(min(3, p + 1), 0, -1):
             g = tuple(w[p - n + 1 : p + 1])
-            if n == 1 or count[n - 1][g] >= 2:
-                base = total if n == 1 else count[n - 2][g[:-1]]
-                return math.floor((math.log(count[n - 1][g] / base) + (min(p, 2) - (n - 1)) * math.log(0.4)) * 1e6 + 0.5)
-
-    want = sorted((str(i), len(w), sum(score(w, p) for p in range(len(w)))) for (i, _), w in zip(data, texts, strict=True))
-    got = sorted((str(r.doc_id), r.n_words, r.score_micro) for r in backoff.backoff_scores(docs).collect())
-    assert got == want
-    assert backoff.backoff_scores(empty).count() == 0
+            if n == 1 or others(g) > 0:
+                share = max(others(g), 1) / max(total - len(w), 1) if n == 1 else others(g) / others(g[:-1])
+                return math.floor((math.log(share) + (min(p, 2) - (n - 1)) * math.log(0.4)) * 1e6 + 0.5)
 
+    for k, ((i, _), w) in enumerate(zip(data, texts, strict=True)):
+        s = sum(score(k, p) for p in range(len(w)))
+        yield str(i), len(w), s, s // len(w) if w else None
 
-def test_backoff_over_all_counts(spark):
-    """The registered query over full counts, where an n-gram that occurs once is one."""
-    from sextant.llm import registry
 
-    sf = "/root/testdata/sf0.001"
-    data = [(r.doc_id, words(r.text, True)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    count = [Counter(tuple(w[i : i + n]) for _, w in data for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
-    total = sum(count[0].values())
+@pytest.mark.parametrize("sizes", [{}, {"batch_bytes": 500, "part_words": 300}])
+def test_backoff(docs, empty, sizes):
+    got = sorted((str(r.doc_id), r.n_words, r.score_micro, r.mean_micro) for r in backoff.backoff_scores(docs, **sizes).collect())
+    assert got == sorted(backoff_by_hand(rows()), key=lambda r: r[:3])
+    assert backoff.backoff_scores(empty, **sizes).count() == 0
 
-    def score(w, p):
-        n = min(3, p + 1)  # a document's own n-grams are counted, so the longest is always there
-        g = tuple(w[p - n + 1 : p + 1])
-        return math.floor(math.log(count[n - 1][g] / (count[n - 2][g[:-1]] if n > 1 else total)) * 1e6 + 0.5)
 
-    want = {i: (len(w), sum(score(w, p) for p in range(len(w)))) for i, w in data}
-    got = {r.doc_id: (r.n_words, r.score_micro) for r in registry.QUERIES["op1_stupid_backoff_full"](spark, sf).collect()}
-    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) <= len(w) for i, w in data)
+def test_a_document_is_scored_by_the_others(spark):
+    """A text that occurs twice is known; one that occurs once backs off to single words throughout."""
+    once, twice = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    df = spark.createDataFrame([(1, once), (2, twice), (3, twice)], "doc_id long, text string")
+    got = {r.doc_id: r.mean_micro for r in backoff.backoff_scores(df).collect()}
+    assert got[2] == got[3] > -200_000 and got[1] < -5_000_000
 
 
 def test_near_duplicates(docs, empty):
