@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,12 +68,12 @@ def pieces(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, copies: str, total: int, spread: list[Column]) -> DataFrame:
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, copies: str, total: int, row: str) -> DataFrame:
     """rows left-joined with facts (one row for each key, with the number of rows that have it in `copies`, which is not
     kept), whatever share of the rows a key has.
 
     Facts of hot keys, those of more than one row in HOT_SHARE, are fewer than HOT_SHARE and are broadcast; rows that
-    they serve, and rows without key, then go through the other join spread by a hash of `spread`, where they meet
+    they serve, and rows without key, then go through the other join spread by a hash of the column `row`, where they meet
     nothing. facts must have been cut, as they are read twice. Names that start with _hot_ are taken.
     """
     names = [c for c in facts.columns if c not in (key, copies)]
@@ -82,7 +82,7 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, copies: str, total: in
     rare = facts.filter(~limit).select(F.col(key).alias("_hot_rare"), F.struct(*names).alias("_hot_more"), F.lit(False).alias("_hot_no"))
     served = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn("_hot_done", F.col("_hot_facts").isNotNull() | F.col(key).isNull())
     kind = rows.schema[key].dataType
-    filler = F.xxhash64(*spread).cast(kind)
+    filler = F.xxhash64(row).cast(kind)
     out = served.withColumn("_hot_on", F.when(F.col("_hot_done"), filler).otherwise(F.col(key)))
     out = out.join(rare, (F.col("_hot_on") == F.col("_hot_rare")) & (F.col("_hot_done") == F.col("_hot_no")), "left")
     found = F.coalesce("_hot_facts", "_hot_more")

@@ -1,15 +1,19 @@
 """Near-duplicate documents by b-bit MinHash.
 
-1. One pass over the texts gives each document's shingle-set size, a 128-bit hash of the set, band keys of its minima
-   and the minima's low bits packed into a short signature.
+1. One pass over the texts gives each document's shingle-set size, a hash of the set, band keys of its minima and the
+   minima's low bits packed into a short signature.
 2. Documents with equal sets are one class, so that a group of copies is one vertex however large it is.
-3. Classes that share a band key are candidates. Inside a bucket, cut into blocks of bounded size, the similarity is
-   estimated from bit counts of the signatures, corrected for chance collisions; what passes a bound four standard
-   deviations below the threshold is kept as a spanning forest, never as all pairs.
+3. Classes that share a band key are candidates. Inside a bucket the similarity is estimated from bit counts of the
+   signatures, corrected for chance collisions; what passes a bound four standard deviations below the threshold is kept
+   as a spanning forest, never as all pairs.
 4. The components of that graph are clusters that contain every link. Their members' full shingle sets meet once more,
-   in blocks of bounded size, and links are confirmed by exact counts; again only a spanning forest leaves the task.
+   and links are confirmed by exact counts; again only a spanning forest leaves the task.
 5. The components of the confirmed links are the result.
 
+Buckets and clusters are cut into blocks of bounded size. Each block first meets itself and a few pivots of its group,
+drawn by a hash. Members that hang together with the pivot that most of them join need not meet each other; only the rest
+go on to the other blocks. So a group of n copies with small differences costs about n, not n * n, and no link is left out.
+
 A pair at the threshold shares no band with probability (1 - 0.75**4)**32 = 6e-6, and fails the bound with 3e-5.
 """
 
@@ -24,11 +28,13 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .blocks import Forest, groups
-from .common import components, cut, pieces
+from .common import components, cut, join_hot, pieces
 
 U = np.uint64
 #: Rows of a band block and shingles of a verification block: what one task holds of a bucket or cluster at once.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
+#: Pivots of a group of several blocks, about.
+PIVOTS = 16
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -84,6 +90,15 @@ def estimate(one: np.ndarray, many: np.ndarray, bits: int) -> np.ndarray:
     return (equal / total - chance) / (1 - chance)
 
 
+def _set_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set of shingle hashes, from its size and two sums."""
+    one, two = np.zeros(len(sets), dtype=U), np.zeros(len(sets), dtype=U)
+    for k, s in enumerate(sets):
+        x = T.mix(s)
+        one[k], two[k] = x.sum(dtype=U), T.mix(x ^ U(0x5851F42D4C957F2D)).sum(dtype=U)
+    return T.mix(one ^ T.mix(two + np.array([len(s) for s in sets], dtype=U)))
+
+
 def _features(words: int, bands: int, rows: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +107,6 @@ def _features(words: int, bands: int, rows: int, bits: int):
                 sets = shingle_sets(part.column(1), words)
                 full = [s for s in sets if len(s)]
                 size = np.array([len(s) for s in sets], dtype=np.int64)
-                a, b = np.zeros(len(sets), dtype=U), np.zeros(len(sets), dtype=U)
                 sig, keys = [None] * len(sets), [None] * len(sets)
                 if full:
                     m = _minima(full, bands * rows)
@@ -100,71 +114,108 @@ def _features(words: int, bands: int, rows: int, bits: int):
                     key = T.mix(wide.sum(axis=2, dtype=U) + T.sequence(bands, 6)).view(np.int64)
                     packed = _pack(m, bits)
                     for k, r in enumerate(np.flatnonzero(size).tolist()):
-                        x = T.mix(full[k])
-                        a[r], b[r] = x.sum(dtype=U), T.mix(x ^ U(0x5851F42D4C957F2D)).sum(dtype=U)
                         sig[r], keys[r] = packed[k].tobytes(), key[k]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "bands"],
-                )
+                v = pa.array(_set_hashes(sets).view(np.int64), mask=size == 0)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), v, pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "v", "sig", "bands"])
 
     return run
 
 
-def _signatures(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=U).reshape(len(column), -1)
+class _Soft:
+    """Members of a bucket, near by their signatures."""
+
+    def __init__(self, t: pa.Table, bits: int, bound: float, per_10000: int) -> None:
+        self.sig, self.bits, self.bound = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=U).reshape(len(t), -1), bits, bound
+
+    def candidates(self, i: int, rest: np.ndarray) -> np.ndarray:
+        return rest[estimate(self.sig[i], self.sig[rest], self.bits) >= self.bound]
+
+    def sure(self, i: int, j: int) -> bool:
+        return True
+
+
+class _Exact(_Soft):
+    """Members of a cluster, near by exact counts of their sets."""
+
+    def __init__(self, t: pa.Table, bits: int, bound: float, per_10000: int) -> None:
+        super().__init__(t, bits, bound, per_10000)
+        self.sets, self.per_10000 = [np.frombuffer(x, dtype=U) for x in t["hashes"].to_pylist()], per_10000
+        self.size = np.array([len(s) for s in self.sets])
 
+    def candidates(self, i: int, rest: np.ndarray) -> np.ndarray:
+        n = self.size[rest]
+        return super().candidates(i, rest[10_000 * np.minimum(n, self.size[i]) >= self.per_10000 * np.maximum(n, self.size[i])])
 
-def _sides(t: pa.Table) -> tuple[np.ndarray, bool]:
-    """Which rows are of the first block of a block pair, and whether it is one block with itself."""
-    own = t["block"].to_numpy() == t["p"].to_numpy()
-    return own, bool(t["p"][0].as_py() == t["q"][0].as_py())
+    def sure(self, i: int, j: int) -> bool:
+        a, b = (self.sets[i], self.sets[j]) if self.size[i] > self.size[j] else (self.sets[j], self.sets[i])
+        both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+        return 10_000 * both >= self.per_10000 * (len(a) + len(b) - both)
 
 
-def _soft(bits: int, bound: float):
+def _meet(forest: Forest, near: _Soft, i: int, rest: np.ndarray) -> None:
+    rest = rest[forest.label[rest] != forest.label[i]]
+    if len(rest):
+        for j in near.candidates(i, rest).tolist():
+            if forest.label[i] != forest.label[j] and near.sure(i, j):
+                forest.join(i, j)
+
+
+_TOLD = "a long, b long, grp long, v long, colour long"
+
+
+def _told(edges: np.ndarray, grp: int = 0, ids: np.ndarray = (), colour: np.ndarray = ()) -> pa.RecordBatch:
+    """Edges, and members with the pivot that they hang together with."""
+    m, n = len(edges), len(ids)
+    one = lambda x, k: pa.array(np.concatenate((x, np.zeros(k, np.int64))), mask=np.arange(m + n) >= m)
+    two = lambda x: pa.array(np.concatenate((np.zeros(m, np.int64), x)).astype(np.int64), mask=np.arange(m + n) < m)
+    c = np.concatenate((np.zeros(m, np.int64), colour)).astype(np.int64)
+    missing = np.concatenate((np.ones(m, bool), np.asarray(colour) == 0)) if n else np.ones(m, bool)
+    return pa.RecordBatch.from_arrays([one(edges[:, 0], n), one(edges[:, 1], n), two(np.full(n, grp)), two(np.asarray(ids)), pa.array(c, mask=missing)], names=["a", "b", "grp", "v", "colour"])
+
+
+def _within(kind: type[_Soft], *limits):
+    """Each block with itself and with its group's pivots."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["key", "p", "q"]):
-            ids, sig = t["rep"].to_numpy(), _signatures(t["sig"])
-            own, alone = _sides(t)
-            forest = Forest(len(ids))
-            for i in np.flatnonzero(own).tolist():
-                rest = np.arange(i + 1, len(ids)) if alone else np.flatnonzero(~own)
-                rest = rest[forest.label[rest] != forest.label[i]]
-                if len(rest):
-                    for j in rest[estimate(sig[i], sig[rest], bits) >= bound].tolist():
-                        forest.join(i, j)
-            e = forest.stars(ids)
-            if len(e):
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+        for t in groups(batches, ["grp", "block"]):
+            pivot = t["pivot"].to_numpy(zero_copy_only=False).astype(bool)
+            v = t["v"].to_numpy()
+            at = np.unique(np.where(pivot, 0, 1) + 2 * np.unique(v, return_inverse=True)[1], return_index=True)[1]  # one row for each role of a set
+            t, v, pivot = t.take(pa.array(at)), v[at], pivot[at]
+            near, forest = kind(t, *limits), Forest(len(v))
+            for i in range(len(v)):
+                _meet(forest, near, i, np.arange(i + 1, len(v)))
+            edges = forest.stars(v)
+            if t["blocks"][0].as_py() == 1:
+                if len(edges):
+                    yield _told(edges)
+                continue
+            low = np.zeros(len(v), np.int64)
+            for k in np.flatnonzero(pivot).tolist():
+                own = (forest.label == forest.label[k]) & (low == 0)
+                low[own] = v[k]
+            yield _told(edges, t["grp"][0].as_py(), v[~pivot], low[~pivot])
 
     return run
 
 
-def _links(bits: int, bound: float, per_10000: int):
+def _across(kind: type[_Soft], *limits):
+    """A block's members with those that did not join most of the group's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["cluster", "p", "q"]):
-            ids, sig = t["doc_id"].to_numpy(), _signatures(t["sig"])
-            sets = [np.frombuffer(x, dtype=U) for x in t["hashes"].to_pylist()]
-            size = np.array([len(s) for s in sets])
-            own, alone = _sides(t)
-            forest = Forest(len(ids))
-            for i in np.flatnonzero(own).tolist():
-                rest = np.arange(i + 1, len(ids)) if alone else np.flatnonzero(~own)
-                rest = rest[forest.label[rest] != forest.label[i]]
-                if not len(rest):
-                    continue
-                near = estimate(sig[i], sig[rest], bits)
-                fits = (near >= bound) & (10_000 * np.minimum(size[rest], size[i]) >= per_10000 * np.maximum(size[rest], size[i]))
-                for j in rest[fits].tolist():
-                    if forest.label[i] == forest.label[j]:
-                        continue
-                    a, b = (sets[i], sets[j]) if size[i] > size[j] else (sets[j], sets[i])
-                    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-                    if 10_000 * both >= per_10000 * (len(a) + len(b) - both):
-                        forest.join(i, j)
-            e = forest.stars(ids)
-            if len(e):
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+        for t in groups(batches, ["grp", "block", "asks"]):
+            asked = ~t["query"].to_numpy(zero_copy_only=False).astype(bool)
+            v, near, forest = t["v"].to_numpy(), kind(t, *limits), Forest(len(t))
+            colour = t["colour"].fill_null(0).to_numpy()
+            for c in np.unique(colour[colour != 0]).tolist():  # these hang together already
+                own = np.flatnonzero(colour == c)
+                forest.label[own] = own[0]
+            targets = np.flatnonzero(asked)
+            for i in np.flatnonzero(~asked).tolist():
+                _meet(forest, near, i, targets)
+            edges = forest.stars(v)
+            if len(edges):
+                yield _told(edges)
 
     return run
 
@@ -175,17 +226,33 @@ def _sets(words: int):
             for i, j in T.slices(batch.column("text")):
                 part = batch.slice(i, j - i)
                 sets = shingle_sets(part.column("text"), words)
-                rest = [part.column(c) for c in ("cluster", "doc_id", "sig", "block", "blocks")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "doc_id", "sig", "block", "blocks", "hashes"])
+                mine = np.flatnonzero(_set_hashes(sets).view(np.int64) == part.column("v").to_numpy())  # a doc_id may have other texts
+                if len(mine):
+                    rest = [part.column(c).take(pa.array(mine)) for c in ("grp", "v", "sig", "block", "blocks", "members")]
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["grp", "v", "sig", "block", "blocks", "members", "hashes"])
 
     return run
 
 
-def _paired(df: DataFrame, key: str) -> DataFrame:
-    """Each row once for each pair of blocks that its block is in, brought together by key and pair and sorted."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    p = df.select("*", other).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "blocks")
-    return p.repartition(pieces(df.sparkSession), key, "p", "q").sortWithinPartitions(key, "p", "q")
+def _linked(rows: DataFrame, kind: type[_Soft], *limits) -> DataFrame:
+    """A spanning forest (a, b) of the links inside groups, of rows (grp, v, block, blocks, members and what kind reads)."""
+    n = pieces(rows.sparkSession)
+    big = rows.filter("blocks > 1")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pivots = big.filter(F.expr(f"pmod(xxhash64(v, 3), members) < {PIVOTS}")).withColumn("block", every)
+    met = rows.withColumn("pivot", F.lit(False)).unionByName(pivots.withColumn("pivot", F.lit(True)))
+    told = cut(met.drop("members").repartition(n, "grp", "block").sortWithinPartitions("grp", "block").mapInArrow(_within(kind, *limits), _TOLD))
+    edges = told.filter("a is not null").select("a", "b")
+    members = told.filter("a is null").select("grp", "v", "colour")
+    most = members.filter("colour is not null").groupBy("grp", "colour").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("colour", "n").alias("most"))
+    rest = cut(members.join(most, "grp", "left").filter("colour is null or most is null or colour <> most").select("grp", "v", "colour"))
+    if rest.isEmpty():
+        return edges
+    asks = rest.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("asking"))
+    queries = big.join(rest, ["grp", "v"]).join(asks, "grp").withColumn("asks", F.expr("cast(pmod(xxhash64(v, 5), asking) as int)")).withColumn("block", every).withColumn("query", F.lit(True))
+    targets = big.join(members, ["grp", "v"]).join(asks, "grp").withColumn("asks", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).withColumn("query", F.lit(False))
+    both = targets.unionByName(queries).drop("asking", "blocks", "members").repartition(n, "grp", "block", "asks").sortWithinPartitions("grp", "block", "asks")
+    return edges.union(both.mapInArrow(_across(kind, *limits), _TOLD).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.75, bands: int = 32, rows: int = 4, bits: int = 4) -> DataFrame:
@@ -194,34 +261,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.75, b
     Documents are linked whose sets of `words`-word shingles (A-Z folded; the whole sequence if shorter) have at least
     the similarity. component_id is the smallest doc_id reachable; kept marks that document.
 
-    Null, empty or white texts have no shingles and link with nothing. Rows of one doc_id are one document. A row
-    without doc_id links with nothing, has no component_id and is kept. An empty table gives an empty result; other
-    columns of docs are ignored.
+    Null, empty or white texts have no shingles and link with nothing. Rows of one doc_id are linked with each other,
+    whatever their texts, if these have words. A row without doc_id links with nothing, has no component_id and is kept.
+    A text of any length is taken whole; it takes about 50 bytes of a task's memory for each of its own. There are no ties:
+    every link counts, and repeated rows come out alike. An empty table gives an empty result; other columns of docs are
+    ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     deviation = (similarity * (1 - similarity) / (bands * rows)) ** 0.5 / (1 - 0.5**bits)
-    bound = similarity - 4.2 * deviation
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
-    features = cut(docs.mapInArrow(_features(words, bands, rows, bits), schema))
-    key = ["set_a", "set_b", "n_shingles"]
-    real = features.filter("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    reps = cut(real.join(classes, key).filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "sig", "bands"))
-
-    keys = reps.select(F.explode("bands").alias("key"), "rep")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    members = keys.join(shared, "key").select("key", "rep", blocks.alias("blocks"), F.expr(f"cast(pmod(xxhash64(rep), ceil(n / {BLOCK_ROWS})) as int)").alias("block"))
-    members = members.join(reps.select("rep", "sig"), "rep")
-    soft = _paired(members, "key").select("key", "p", "q", "block", "rep", "sig").mapInArrow(_soft(bits, bound), "a long, b long")
-
-    cluster = components(soft).select(F.col("v").alias("rep"), F.col("label").alias("cluster")).join(reps.select("rep", "n_shingles", "sig"), "rep")
-    weight = cluster.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = cluster.join(weight, "cluster").select("cluster", F.col("rep").alias("doc_id"), "sig", F.expr("cast(pmod(xxhash64(rep, 7), blocks) as int)").alias("block"), "blocks")
-    sets = docs.join(placed, "doc_id").mapInArrow(_sets(words), "cluster long, doc_id long, sig binary, block int, blocks int, hashes binary")
-    links = _paired(sets, "cluster").mapInArrow(_links(bits, bound, round(10_000 * similarity)), "a long, b long")
-
-    found = components(links).select(F.col("v").alias("rep"), F.col("label"))
-    out = features.select("doc_id", *key).join(classes, key, "left").join(found, "rep", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
+    limits = (bits, similarity - 4.2 * deviation, round(10_000 * similarity))
+    features = cut(docs.mapInArrow(_features(words, bands, rows, bits), "doc_id long, n_shingles long, v long, sig binary, bands array<long>"))
+    real = features.filter("v is not null and doc_id is not null")
+    classes = cut(real.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+
+    keys = classes.select(F.explode("bands").alias("grp"), "v", "sig")
+    shared = keys.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
+    buckets = keys.join(shared, "grp").withColumn("blocks", F.expr(f"cast(ceil(members / {BLOCK_ROWS}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(v), blocks) as int)"))
+    soft = components(_linked(buckets, _Soft, *limits))
+
+    cluster = cut(soft.select("v", F.col("label").alias("grp")).join(classes.select("v", "doc_id", "n_shingles", "sig"), "v"))
+    weight = cluster.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("members"))
+    placed = cluster.join(weight, "grp").select("grp", "doc_id", "v", "sig", F.expr("cast(pmod(xxhash64(v, 7), blocks) as int)").alias("block"), "blocks", "members")
+    sets = docs.join(placed, "doc_id").mapInArrow(_sets(words), "grp long, v long, sig binary, block int, blocks int, members long, hashes binary")
+    links = _linked(sets, _Exact, *limits)
+    several = real.groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("last")).filter("a < last").drop("last")
+    several = real.select("doc_id", F.col("v").alias("b")).join(several, "doc_id").select("a", "b").distinct().filter("a <> b")
+
+    found = components(links.union(several)).join(classes.select("v", "doc_id"), "v")
+    low = found.select("v", "label").join(found.groupBy("label").agg(F.min("doc_id").alias("low")), "label").select("v", "low")
+    facts = cut(classes.select("v", "copies", "doc_id").join(low, "v", "left").select("v", "copies", F.coalesce("low", "doc_id").alias("low")))
+    mine = features.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("v")).alias("v"), F.monotonically_increasing_id().alias("row"))
+    out = join_hot(mine, facts, "v", "copies", features.count(), "row")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
