@@ -2,13 +2,15 @@
 
 Every source's documents lie end to end, in an order of hashes, and are cut into blocks of `block` words; the last
 may be shorter. A source's target says how many of its blocks the mix takes. The output is a row of slots, `shard` to a
-shard. How many slots of a shard each source gets is a multinomial draw, conditioned on the sources' totals so that
-each comes out at its target exactly: a keyed permutation of all slots deals every source's share over the shards.
+shard. Each shard draws its sources' counts from the multinomial of their shares. Draws miss the targets by the square
+root of what they take, so then the totals are settled: of sources drawn too often, slots chosen by a pseudorandom
+permutation pass to sources drawn too seldom, and each source comes out at its target exactly.
+
 A source's slots are numbered through the shards; the n-th reads the block that a pseudorandom permutation of the
 source's indices gives for n, another permutation for each time through, and the blocks are joined by that index.
 
-All of it is DataFrame and SQL functions. Nothing is grouped by source alone but rows that have been added up before:
-documents are placed in two steps, inside hash buckets of a source and then over the buckets.
+All of it is DataFrame and SQL functions. Running sums are taken in levels, so no task orders more than a few thousand
+rows of a source, however many it has.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, pieces
 
-#: Documents of a bucket inside which positions are summed up by one task, and slots that one row is unfolded to.
-BUCKET_ROWS, CHUNK_SLOTS = 5_000, 8_192
+#: Rows that one task sums up at a level, and the fan-out of the levels above.
+LEVEL_ROWS, FAN = 500, 1024
 #: Most steps of a walk that seeks its way back into the range. The grid that is permuted has at most 2 * sqrt(n) + 1
 #: cells too many; a walk that long has a chance of (2 / sqrt(n)) ** 64 for n over 1000 and doesn't exist below.
 WALK = 64
@@ -37,11 +39,15 @@ def permuted(x: str, n: str, seed: str) -> Column:
     return F.expr(f"aggregate(sequence(2, {WALK}), {first}, (v, step) -> if(v < {n}, v, {again}))")
 
 
-def running(df: DataFrame, value: str, within: list[str], part: str, order: list[Column], name: str) -> DataFrame:
-    """Sum of value over the rows before, in order of part and then of order: part by part, then over the parts."""
+def running(df: DataFrame, value: str, within: list[str], part: str, parts: int, order: list[Column], name: str) -> DataFrame:
+    """Sum of value over the rows before, in order of part (0 to parts - 1) and then of order: inside parts, and over the
+    parts in levels of FAN until few are left."""
     sums = df.groupBy(*within, part).agg(F.sum(value).alias("_sum"))
-    over = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, -1) if within else Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*within, part, F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
+    if parts > 4 * FAN:
+        sums = running(sums.withColumn("_up", F.expr(f"{part} div {FAN}")), "_sum", within, "_up", parts // FAN + 1, [F.col(part)], "_base").drop("_up", "_sum")
+    else:
+        over = Window.partitionBy(*within).orderBy(part) if within else Window.orderBy(part)
+        sums = sums.select(*within, part, F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inner = Window.partitionBy(*within, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = df.withColumn("_own", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return out.join(sums, [*within, part]).withColumn(name, F.col("_base") + F.col("_own")).drop("_base", "_own")
@@ -54,9 +60,10 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     the excess is shared again by weight until none is above.
     """
     by = [F.col("source").isNull(), F.col("source")]
+    n = pieces(sizes.sparkSession)
     s = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    s = cut(s.repartitionByRange(*by).withColumn("part", F.spark_partition_id()).withColumn("one", F.lit(1)))
-    s = running(s, "one", [], "part", by, "sid")
+    s = cut(s.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()).withColumn("one", F.lit(1)))
+    s = running(s, "one", [], "part", n, by, "sid")
     pick = F.expr(f"element_at(array({', '.join(f'{float(w)}D' for w in weights)}), cast(sid % {len(weights)} as int) + 1)")
     s = cut(s.select(F.col("sid").cast("long"), "source", "source_size", "part", pick.alias("weight")))
     total = share * float(s.agg(F.sum("source_size")).first()[0] or 0)
@@ -73,6 +80,43 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return s.withColumn("target", F.least(F.col("weight") * level, cap))
 
 
+def _covered(points: DataFrame, spans: DataFrame, total: int, cells: int) -> DataFrame:
+    """points (at, ...) with the sid of the span (sid, low, n) that holds at; spans don't overlap and lie in 0..total - 1.
+
+    Both are dealt to equal cells of the line, and joined by cell."""
+    width = max(1, -(-total // cells))
+    s = spans.filter("n > 0").selectExpr("sid", "low", "low + n AS high", f"explode(sequence(low div {width}, (low + n - 1) div {width})) AS cell")
+    p = points.withColumn("cell", F.expr(f"at div {width}"))
+    return p.join(s, "cell").filter("low <= at AND at < high").drop("cell", "low", "high", "at")
+
+
+def draws(s: DataFrame, slots: int, sources: int, shard: int) -> DataFrame:
+    """sid, shard, slots for sources s (sid, part, taken, first), the running sum of taken being first: multinomial counts of
+    each shard, settled to the sources' totals."""
+    n, cells = pieces(s.sparkSession), sources + 4096
+    # a slot's source is drawn as one of all tickets, of which a source has as many as it is to be taken
+    points = s.sparkSession.range(0, slots, 1, n).selectExpr(f"id div {shard} AS shard", f"pmod(xxhash64('draw', id), {max(1, slots)}L) AS at")
+    drawn = cut(_covered(points, s.selectExpr("sid", "first AS low", "taken AS n"), slots, cells).groupBy("sid", "shard").agg(F.count("*").alias("slots")))
+    totals = s.select("sid", "part", "taken").join(drawn.groupBy("sid").agg(F.sum("slots").alias("drawn")), "sid", "left")
+    totals = totals.selectExpr("sid", "part", "coalesce(drawn, 0L) AS drawn", "greatest(coalesce(drawn, 0L) - taken, 0L) AS over", "greatest(taken - coalesce(drawn, 0L), 0L) AS under")
+    line = cut(running(running(totals, "over", [], "part", n, [F.col("sid")], "over_low"), "under", [], "part", n, [F.col("sid")], "under_low"))
+    moved = int(line.agg(F.sum("over")).first()[0] or 0)
+    numbered = _numbered(drawn.join(line.filter("over > 0").select("sid", "drawn", "over", "over_low"), "sid"), slots, shard)
+    j = permuted("number", "drawn", "'over', sid")
+    given = numbered.withColumn("j", j).filter("j < over").select("shard", F.col("sid").alias("giver"), (F.col("over_low") + F.col("j")).alias("at"))
+    passed = _covered(given, line.selectExpr("sid", "under_low AS low", "under AS n"), moved, cells)
+    change = passed.select(F.explode(F.array(F.struct(F.col("giver").alias("sid"), "shard", F.lit(-1).cast("long").alias("slots")), F.struct("sid", "shard", F.lit(1).cast("long").alias("slots")))).alias("c")).select("c.*")
+    return cut(drawn.unionByName(change).groupBy("sid", "shard").agg(F.sum("slots").alias("slots")).filter("slots > 0"))
+
+
+def _numbered(draw: DataFrame, slots: int, shard: int) -> DataFrame:
+    """A row for each slot of draw (sid, shard, slots), numbered through the shards of its source."""
+    parts = max(1, slots // shard // LEVEL_ROWS + 1)
+    before = running(draw.withColumn("part", F.expr(f"shard div {LEVEL_ROWS}")), "slots", ["sid"], "part", parts, [F.col("shard")], "before")
+    before = before.drop("part").repartition(pieces(draw.sparkSession), "sid", "shard")
+    return before.withColumn("number", F.expr("explode(sequence(before, before + slots - 1))")).drop("before", "slots")
+
+
 def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = 64, shard: int = 1024, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of docs (doc_id, text, source): placed documents, the draw of each shard, and the slots.
 
@@ -84,37 +128,44 @@ def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     each, whatever their doc_id; an empty table gives empty results.
     """
     sizes = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep))
-    rows = max(1, sizes.count())
+    # rows alike in all of these change places freely: they are placed as one
+    distinct = cut(sizes.groupBy("source", "doc_id", "size", *keep).agg(F.count("*").alias("copies")))
+    rows = distinct.count()
     s = targets(sizes, list(weights), share, most)
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     full = F.floor(F.col("target") / F.col("source_size")).cast("long")
     rest = F.round((F.col("target") - full * F.col("source_size")) * blocks / F.col("source_size")).cast("long")
     s = s.withColumn("blocks", blocks).withColumn("taken", F.when(F.col("source_size") > 0, F.least(full * blocks + rest, F.floor(blocks * float(most)).cast("long"))).otherwise(F.lit(0).cast("long")))
-    s = cut(running(s, "taken", [], "part", [F.col("sid")], "first"))
-    slots = int(s.agg(F.sum("taken")).first()[0] or 0)
-
-    keyed = sizes.join(s.select("sid", F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    keyed = keyed.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, size), {-(-rows // BUCKET_ROWS)})"))
-    placed = running(keyed, "size", ["sid"], "bucket", [F.col("doc_id"), F.col("size"), *map(F.col, keep)], "start").drop("bucket")
+    s = cut(running(s, "taken", [], "part", pieces(docs.sparkSession), [F.col("sid")], "first"))
+    slots, sources = (int(x or 0) for x in s.agg(F.sum("taken"), F.count("*")).first())
 
-    chunks = s.filter("taken > 0").withColumn("chunk", F.expr(f"explode(sequence(0, (taken - 1) div {CHUNK_SLOTS}))")).repartition("sid", "chunk")
-    ticket = F.expr(f"explode(sequence(chunk * {CHUNK_SLOTS}, least(taken, (chunk + 1) * {CHUNK_SLOTS}) - 1))")
-    dealt = chunks.select("sid", "first", ticket.alias("ticket")).select("sid", (permuted("first + ticket", f"{max(1, slots)}L", "'slots'") / shard).cast("long").alias("shard"))
-    draw = dealt.groupBy("sid", "shard").agg(F.count("*").alias("slots"))
+    keyed = distinct.join(s.select("sid", F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    parts = rows // LEVEL_ROWS + 1
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", *keep), F.lit(parts))).withColumn("all", F.col("size") * F.col("copies"))
+    placed = running(keyed, "all", ["sid"], "bucket", parts, [F.col("doc_id"), F.col("size"), *map(F.col, keep)], "begin")
+    placed = placed.withColumn("start", F.expr("explode(transform(sequence(0L, copies - 1), i -> begin + i * size))")).drop("bucket", "all", "copies", "begin")
 
-    numbered = draw.withColumn("before", F.coalesce(F.sum("slots").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = numbered.join(s.select("sid", "blocks"), "sid").repartition("sid", "shard")
-    number = numbered.select("shard", "sid", "blocks", F.expr("explode(sequence(before, before + slots - 1))").alias("number"))
+    draw = draws(s, slots, sources, shard)
+    number = _numbered(draw.join(s.select("sid", "blocks"), "sid"), slots, shard)
     index = permuted("number % blocks", "blocks", "sid, number div blocks")
     return placed, draw, number.select("shard", "sid", index.alias("block"))
 
 
+def _cover(placed: DataFrame, block: int) -> DataFrame:
+    """A row for each block that a document has words in."""
+    return placed.filter("size > 0").withColumn("block", F.expr(f"explode(sequence(start div {block}, (start + size - 1) div {block}))"))
+
+
 def mixed_words(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = 64, shard: int = 1024) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs: the words that the mix of mixed_blocks takes."""
+    """doc_id, size, source_size, target, taken for each row of docs: the words that the mix of mixed_blocks takes.
+
+    Null and empty texts take no words; null sources are one source, null doc_ids are documents like others, and rows alike
+    in doc_id, size and source are each counted, in no order among each other. A text of any length is counted whole. An
+    empty table gives an empty result; other columns of docs are ignored, whatever their names.
+    """
     placed, _, slots = mixed_blocks(docs, weights, share, most, block, shard)
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    cover = placed.filter("size > 0").withColumn("block", F.expr(f"explode(sequence(start div {block}, (start + size - 1) div {block}))"))
-    part = cover.withColumn("words", F.expr(f"least(start + size, (block + 1) * {block}) - greatest(start, block * {block})"))
+    part = _cover(placed, block).withColumn("words", F.expr(f"least(start + size, (block + 1) * {block}) - greatest(start, block * {block})"))
     key = ["sid", "start", "doc_id", "size", "source_size", "target"]
     got = part.join(times, ["sid", "block"], "left").groupBy(*key).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     out = got.unionByName(placed.filter("size = 0").select(*key).withColumn("taken", F.lit(0).cast("long")))
@@ -129,8 +180,7 @@ def mixed_spans(docs: DataFrame, key: str, weights: tuple[float, ...] = (5, 2, 1
     """
     placed, _, slots = mixed_blocks(docs, weights, share, most, block, shard, (key,))
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    cover = placed.filter("size > 0").withColumn("block", F.expr(f"explode(sequence(start div {block}, (start + size - 1) div {block}))"))
-    part = cover.join(times, ["sid", "block"]).selectExpr(
+    part = _cover(placed, block).join(times, ["sid", "block"]).selectExpr(
         key, "size", f"greatest(start, block * {block}) - start AS first", f"least(start + size, (block + 1) * {block}) - start AS stop", "explode(sequence(1L, times)) AS nth"
     )
     before = F.sum(F.col("stop") - F.col("first")).over(Window.partitionBy(key, "nth").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
