@@ -5,16 +5,12 @@ known and nothing would back off. No count is left out and none has a floor.
 
 1. Texts are put into batches, which are written once: what follows reads the same rows however often.
 2. For each order, batches are exploded into n-grams. An exploded row holds the distinct n-gram hashes of one batch that
-   belong to one part of the hash range, sorted, as packed columns: an n-gram takes six bytes on the wire, once for each
-   batch, and a frequent one meets as one entry for each batch, never as rows.
+   belong to one part of the hash range, sorted, as packed columns (see exchange): an n-gram takes six bytes on the wire,
+   once for each batch, and a frequent one meets as one entry for each batch, never as rows.
 3. The count table of the order, partitioned by hash: a grouped aggregate of the exploded rows, one row for each part with
    its hashes and totals. N-grams that occur once are not stored: less their own document's occurrence they are 0.
 4. The exploded rows are joined to the table by part and answered with totals in the order asked.
 5. Answers meet their batch, where a document's own counts are taken off, words are scored and documents summed.
-
-The rows of an exchange are batches times parts, both in proportion to the input: with the defaults a terabyte makes
-10^10 of them, each with hundreds of n-grams. batch_bytes and part_words grow with the memory of an executor (a task takes
-about 40 and 30 bytes for each); at 100 TB, 128 MB and 64 million leave the same number of n-grams to a row.
 """
 
 from __future__ import annotations
@@ -24,99 +20,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as E
 from . import text as T
-from .common import cut, written
+from .common import cut
 
 U = np.uint64
-_BATCH = "batch long, words long, docs binary"
 _EXPLODED = "part int, batch long, hashes binary, counts binary"
 _TABLE = "part int, hashes binary, totals binary"
 _ANSWER = "batch long, n int, part int, totals binary"
 _SCORED = "doc_id long, n_words long, score_micro long"
 
 
-def _schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
-
-
-def _squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _expand(x: bytes) -> bytes:
-    n = int.from_bytes(x[:8], "little")
-    return pa.decompress(x[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b""
-
-
-def _packed(a: np.ndarray) -> bytes:
-    """Integers of 64 bits by planes of equal bytes, of which the high ones shrink to nothing."""
-    return _squeeze(np.ascontiguousarray(a.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(_expand(x), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(U).ravel()
-
-
-def _sorted_packed(h: np.ndarray) -> bytes:
-    """Rising hashes as their differences."""
-    return _packed(np.diff(h, prepend=U(0)))
-
-
-def _sorted_unpacked(x: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(x), dtype=U)
-
-
-def _parts(hashes: np.ndarray, count: int) -> np.ndarray:
-    """Where sorted hashes pass from one of `count` equal parts of their range to the next: count + 1 offsets."""
-    return np.searchsorted((hashes >> U(32)) * U(count) >> U(32), np.arange(count + 1, dtype=U))
-
-
-def _batches(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, nth, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
-
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            n = sum(len(T.words(*T.flat(c.slice(i, j - i)))[0]) for c in t["text"].chunks for i, j in T.slices(c))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(t)
-            return pa.RecordBatch.from_arrays([pa.array([first + nth]), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "words", "docs"])
-
-        for batch in batches:
-            for i, j in T.slices(batch.column(1)):
-                part = batch.slice(i, j - i)
-                now = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
-                if held and size + now > most:
-                    yield flush()
-                    nth, held, size = nth + 1, [], 0
-                held.append(part)
-                size += now
-        if held:
-            yield flush()
-
-    return run
-
-
-class _Grams:
-    """A batch's documents and words, and for each order its n-grams."""
-
-    def __init__(self, docs: bytes) -> None:
-        with pa.ipc.open_stream(docs) as r:
-            t = r.read_all()
-        self.ids = t["doc_id"]
-        cols = [T.word_hashes(c, lower=True) for c in t["text"].chunks]
-        self.words = np.concatenate([c[0] for c in cols]) if cols else np.empty(0, dtype=U)
-        size = np.concatenate([np.diff(c[1]) for c in cols]) if cols else np.empty(0, np.int64)
-        self.at = np.concatenate(([0], np.cumsum(size)))
-        self.row = np.repeat(np.arange(len(size)), size)
-        self.left = np.arange(len(self.words)) - self.at[self.row]
+class _Grams(E.Documents):
+    """A batch's documents and, for each order, its n-grams."""
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the last words of the n-grams inside documents, and the n-grams' hashes."""
@@ -144,24 +63,24 @@ def _exploded(n: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for batch, docs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                distinct, count = np.unique(_Grams(docs).of(n)[1], return_counts=True)
-                at = _parts(distinct, parts)
+                distinct, count = np.unique(_Grams(docs, lower=True).of(n)[1], return_counts=True)
+                at = E.parts(distinct, parts)
                 full = np.flatnonzero(np.diff(at))
-                blobs = [[f(a[at[k] : at[k + 1]]) for k in full] for f, a in ((_sorted_packed, distinct), (_packed, count))]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch] * len(full), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], schema=_schema(_EXPLODED))
+                blobs = [[f(a[at[k] : at[k + 1]]) for k in full] for f, a in ((E.rising, distinct), (E.packed, count))]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch] * len(full), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], schema=E.schema(_EXPLODED))
 
     return run
 
 
 def _counted(rows: pa.Table) -> pa.Table:
     """One part of the count table."""
-    hashes = np.concatenate([_sorted_unpacked(x) for x in rows["hashes"].to_pylist()])
+    hashes = np.concatenate([E.risen(x) for x in rows["hashes"].to_pylist()])
     order = np.argsort(hashes, kind="stable")  # runs that are sorted already
-    hashes, counts = hashes[order], np.concatenate([_unpacked(x) for x in rows["counts"].to_pylist()])[order]
+    hashes, counts = hashes[order], np.concatenate([E.unpacked(x) for x in rows["counts"].to_pylist()])[order]
     first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, np.int64)
     hashes, totals = hashes[first], np.add.reduceat(counts, first) if len(first) else counts
     some = totals > 1
-    return pa.Table.from_arrays([rows["part"].slice(0, 1).combine_chunks(), pa.array([_sorted_packed(hashes[some])], pa.binary()), pa.array([_packed(totals[some])], pa.binary())], schema=_schema(_TABLE))
+    return pa.Table.from_arrays([rows["part"].slice(0, 1).combine_chunks(), pa.array([E.rising(hashes[some])], pa.binary()), pa.array([E.packed(totals[some])], pa.binary())], schema=E.schema(_TABLE))
 
 
 def _answered(n: int):
@@ -169,18 +88,18 @@ def _answered(n: int):
 
     def run(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return _schema(_ANSWER).empty_table()
-        known, totals = _sorted_unpacked(counts["hashes"][0].as_py()), _unpacked(counts["totals"][0].as_py())
+            return E.schema(_ANSWER).empty_table()
+        known, totals = E.risen(counts["hashes"][0].as_py()), E.unpacked(counts["totals"][0].as_py())
         out = []
         for x in rows["hashes"].to_pylist():
-            asked = _sorted_unpacked(x)
+            asked = E.risen(x)
             place = np.searchsorted(known, asked)
             hit = place < len(known)
             hit[hit] = known[place[hit]] == asked[hit]
             got = np.zeros(len(asked), dtype=U)
             got[hit] = totals[place[hit]]
-            out.append(_packed(got))
-        return pa.Table.from_arrays([rows["batch"].combine_chunks(), pa.array([n] * len(rows), pa.int32()), rows["part"].combine_chunks(), pa.array(out, pa.binary())], schema=_schema(_ANSWER))
+            out.append(E.packed(got))
+        return pa.Table.from_arrays([rows["batch"].combine_chunks(), pa.array([n] * len(rows), pa.int32()), rows["part"].combine_chunks(), pa.array(out, pa.binary())], schema=E.schema(_ANSWER))
 
     return run
 
@@ -189,11 +108,11 @@ def _scores(order: int, alpha: float, words: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         done = []
         for raw in docs["docs"].to_pylist():  # one
-            b = _Grams(raw)
+            b = _Grams(raw, lower=True)
             count = []
             for n in range(1, order + 1):
                 t = answers.filter(pc.equal(answers["n"], n)).sort_by("part")
-                count.append(b.others(n, np.concatenate([np.empty(0, U), *map(_unpacked, t["totals"].to_pylist())]).astype(np.int64)))
+                count.append(b.others(n, np.concatenate([np.empty(0, U), *map(E.unpacked, t["totals"].to_pylist())]).astype(np.int64)))
             most = np.minimum(b.left, order - 1)  # words of history that a word can have
             rest = np.maximum(words - np.diff(b.at), 1)[b.row]
             score = np.log(np.maximum(count[0], 1) / rest) + most * np.log(alpha)
@@ -202,13 +121,13 @@ def _scores(order: int, alpha: float, words: int):
                 before = np.concatenate(([0], count[n - 2][:-1]))
                 score[has] = np.log(count[n - 1][has] / before[has]) + (most[has] - (n - 1)) * np.log(alpha)
             micro = np.concatenate(([0], np.cumsum(np.floor(score * 1e6 + 0.5).astype(np.int64))))
-            done.append(pa.Table.from_arrays([b.ids.combine_chunks(), pa.array(np.diff(b.at)), pa.array(micro[b.at[1:]] - micro[b.at[:-1]])], schema=_schema(_SCORED)))
-        return pa.concat_tables(done) if done else _schema(_SCORED).empty_table()
+            done.append(pa.Table.from_arrays([b.ids, pa.array(np.diff(b.at)), pa.array(micro[b.at[1:]] - micro[b.at[:-1]])], schema=E.schema(_SCORED)))
+        return pa.concat_tables(done) if done else E.schema(_SCORED).empty_table()
 
     return run
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, batch_bytes: int = 8 << 20, part_words: int = 2_000_000) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, batch_bytes: int = E.BATCH_BYTES, part_words: int = E.PART_ENTRIES) -> DataFrame:
     """doc_id, n_words, score_micro, mean_micro for each row of docs (doc_id, text).
 
     score_micro is the document's summed log score in millionths, each word's rounded; mean_micro is that for a word,
@@ -222,13 +141,11 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, batch_by
     memory for each of its own. There are no ties to break. Other columns of docs are ignored, whatever their names. An
     empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = written(docs.mapInArrow(_batches(batch_bytes), _BATCH), "batches")
-    words = texts.agg(F.sum("words")).first()[0] or 0
+    texts, words = E.batches(docs, batch_bytes)
     parts = max(1, -(-words // part_words))
     answers = None
     for n in range(1, order + 1):
-        exploded = texts.select("batch", "docs").mapInArrow(_exploded(n, parts), _EXPLODED).groupBy("part")
+        exploded = texts.mapInArrow(_exploded(n, parts), _EXPLODED).groupBy("part")
         counts = exploded.applyInArrow(_counted, _TABLE)
         got = cut(exploded.cogroup(counts.groupBy("part")).applyInArrow(_answered(n), _ANSWER))
         answers = got if answers is None else answers.union(got)

@@ -12,7 +12,7 @@ import pytest
 from .conftest import rows
 from pyspark.sql import functions as F
 
-from sextant.llm import backoff, ctph, debruijn, discriminant, language, minhash, mixing, multiindex, packing, pseudonyms, tokens
+from sextant.llm import backoff, ctph, debruijn, discriminant, exchange, language, minhash, mixing, multiindex, packing, pseudonyms, tokens
 from sextant.llm.registry import vocabulary_path
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -278,7 +278,8 @@ def test_permutation(spark, n):
     assert sorted(got) == list(range(n))
 
 
-def test_remove_repeats(docs, empty):
+@pytest.mark.parametrize("sizes", [{}, {"batch_bytes": 2000, "part_entries": 300}])
+def test_remove_repeats(docs, empty, sizes):
     data = rows()
     first = {}
     for i, t in data:
@@ -297,9 +298,29 @@ def test_remove_repeats(docs, empty):
         kept = " ".join(x for p, x in enumerate(w) if p not in gone)
         want.append((str(i), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     assert sum(x[2] for x in want) > 200
-    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.remove_repeats(docs).collect()]
+    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.remove_repeats(docs, **sizes).collect()]
     assert sorted(got) == sorted(want)
-    assert debruijn.remove_repeats(empty).count() == 0
+    assert debruijn.remove_repeats(empty, **sizes).count() == 0
+
+
+def test_walks_are_contracted_to_branching_nodes(spark):
+    """A passage that many documents copy whole is one walk each, between the same two nodes of its source."""
+    passage = [f"p{k}" for k in range(40)]
+    data = [(i, " ".join([f"u{i}_{k}" for k in range(20)] + passage + [f"v{i}_{k}" for k in range(20)])) for i in range(6)]
+    data.append((9, " ".join(["z"] + passage[10:30] + ["y"])))
+    texts, words_ = exchange.batches(spark.createDataFrame(data, "doc_id long, text string"))
+    walks = debruijn.repeated_walks(texts, words_)
+    assert sorted((r.start, r.length, r.src_start) for r in walks.collect()) == [(1, 20, 30)] + [(20, 40, 20)] * 5
+    assert sorted((r.coordinate, r.leave, r.enter) for r in debruijn.nodes_of(walks).collect()) == [(20, 5, 0), (30, 1, 0), (50, 0, 1), (60, 0, 5)]
+
+
+def test_packed_integers():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 7, 5000):
+        x = r.integers(0, 2**64, n, dtype=np.uint64)
+        assert (exchange.unpacked(exchange.packed(x)) == x).all() and (exchange.risen(exchange.rising(np.sort(x))) == np.sort(x)).all()
+        at = exchange.parts(np.sort(x), 5)
+        assert at[0] == 0 and at[-1] == n and (np.diff(at) >= 0).all()
 
 
 VALUES = [
