@@ -82,7 +82,7 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, copies: str, total: in
     rare = facts.filter(~limit).select(F.col(key).alias("_hot_rare"), F.struct(*names).alias("_hot_more"), F.lit(False).alias("_hot_no"))
     served = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn("_hot_done", F.col("_hot_facts").isNotNull() | F.col(key).isNull())
     kind = rows.schema[key].dataType
-    filler = F.xxhash64(row).cast(kind)
+    filler = F.xxhash64(row).cast("string").cast(kind)
     out = served.withColumn("_hot_on", F.when(F.col("_hot_done"), filler).otherwise(F.col(key)))
     out = out.join(rare, (F.col("_hot_on") == F.col("_hot_rare")) & (F.col("_hot_done") == F.col("_hot_no")), "left")
     found = F.coalesce("_hot_facts", "_hot_more")
