@@ -39,18 +39,20 @@ def permuted(x: str, n: str, seed: str) -> Column:
     return F.expr(f"aggregate(sequence(2, {WALK}), {first}, (v, step) -> if(v < {n}, v, {again}))")
 
 
-def running(df: DataFrame, value: str, within: list[str], part: str, parts: int, order: list[Column], name: str) -> DataFrame:
-    """Sum of value over the rows before, in order of part (0 to parts - 1) and then of order: inside parts, and over the
-    parts in levels of FAN until few are left."""
-    sums = df.groupBy(*within, part).agg(F.sum(value).alias("_sum"))
+def running(df: DataFrame, values: dict[str, str], within: list[str], part: str, parts: int, order: list[Column]) -> DataFrame:
+    """Sums of values (by name) over the rows before, in order of part (0 to parts - 1) and then of order: inside parts, and
+    over the parts in levels of FAN until few are left."""
+    sums = df.groupBy(*within, part).agg(*(F.sum(v).alias(f"_sum_{n}") for n, v in values.items()))
+    base = {f"_base_{n}": f"_sum_{n}" for n in values}
     if parts > 4 * FAN:
-        sums = running(sums.withColumn("_up", F.expr(f"{part} div {FAN}")), "_sum", within, "_up", parts // FAN + 1, [F.col(part)], "_base").drop("_up", "_sum")
+        sums = running(sums.withColumn(f"_{part}", F.expr(f"{part} div {FAN}")), base, within, f"_{part}", parts // FAN + 1, [F.col(part)])
     else:
-        over = Window.partitionBy(*within).orderBy(part) if within else Window.orderBy(part)
-        sums = sums.select(*within, part, F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+        over = (Window.partitionBy(*within).orderBy(part) if within else Window.orderBy(part)).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("*", *(F.coalesce(F.sum(v).over(over), F.lit(0)).alias(n) for n, v in base.items()))
     inner = Window.partitionBy(*within, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("_own", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return out.join(sums, [*within, part]).withColumn(name, F.col("_base") + F.col("_own")).drop("_base", "_own")
+    out = df.select("*", *(F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"_own_{n}") for n, v in values.items()))
+    out = out.join(sums.select(*within, part, *base), [*within, part])
+    return out.select(*df.columns, *((F.col(f"_base_{n}") + F.col(f"_own_{n}")).alias(n) for n in values))
 
 
 def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -63,7 +65,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     n = pieces(sizes.sparkSession)
     s = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     s = cut(s.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()).withColumn("one", F.lit(1)))
-    s = running(s, "one", [], "part", n, by, "sid")
+    s = running(s, {"sid": "one"}, [], "part", n, by)
     pick = F.expr(f"element_at(array({', '.join(f'{float(w)}D' for w in weights)}), cast(sid % {len(weights)} as int) + 1)")
     s = cut(s.select(F.col("sid").cast("long"), "source", "source_size", "part", pick.alias("weight")))
     total = share * float(s.agg(F.sum("source_size")).first()[0] or 0)
@@ -90,39 +92,33 @@ def _covered(points: DataFrame, spans: DataFrame, total: int, cells: int) -> Dat
     return p.join(s, "cell").filter("low <= at AND at < high").drop("cell", "low", "high", "at")
 
 
-def draws(s: DataFrame, slots: int, sources: int, shard: int) -> DataFrame:
-    """sid, shard, slots for sources s (sid, part, taken, first), the running sum of taken being first: multinomial counts of
-    each shard, settled to the sources' totals."""
+def drawn_slots(s: DataFrame, slots: int, sources: int, shard: int) -> DataFrame:
+    """shard, sid, number, blocks of each slot, for sources s (sid, part, taken, first, blocks), the running sum of taken being
+    first: multinomial counts of each shard, settled to the sources' totals. A source's numbers are 0 to taken - 1."""
     n, cells = pieces(s.sparkSession), sources + 4096
     # a slot's source is drawn as one of all tickets, of which a source has as many as it is to be taken
     points = s.sparkSession.range(0, slots, 1, n).selectExpr(f"id div {shard} AS shard", f"pmod(xxhash64('draw', id), {max(1, slots)}L) AS at")
     drawn = cut(_covered(points, s.selectExpr("sid", "first AS low", "taken AS n"), slots, cells).groupBy("sid", "shard").agg(F.count("*").alias("slots")))
-    totals = s.select("sid", "part", "taken").join(drawn.groupBy("sid").agg(F.sum("slots").alias("drawn")), "sid", "left")
-    totals = totals.selectExpr("sid", "part", "coalesce(drawn, 0L) AS drawn", "greatest(coalesce(drawn, 0L) - taken, 0L) AS over", "greatest(taken - coalesce(drawn, 0L), 0L) AS under")
-    line = cut(running(running(totals, "over", [], "part", n, [F.col("sid")], "over_low"), "under", [], "part", n, [F.col("sid")], "under_low"))
+    totals = s.select("sid", "part", "taken", "blocks").join(drawn.groupBy("sid").agg(F.sum("slots").alias("drawn")), "sid", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    totals = totals.selectExpr("*", "greatest(drawn - taken, 0L) AS over", "greatest(taken - drawn, 0L) AS under")
+    line = cut(running(totals, {"over_low": "over", "under_low": "under"}, [], "part", n, [F.col("sid")]))
     moved = int(line.agg(F.sum("over")).first()[0] or 0)
-    numbered = _numbered(drawn.join(line.filter("over > 0").select("sid", "drawn", "over", "over_low"), "sid"), slots, shard)
-    j = permuted("number", "drawn", "'over', sid")
-    given = numbered.withColumn("j", j).filter("j < over").select("shard", F.col("sid").alias("giver"), (F.col("over_low") + F.col("j")).alias("at"))
-    passed = _covered(given, line.selectExpr("sid", "under_low AS low", "under AS n"), moved, cells)
-    change = passed.select(F.explode(F.array(F.struct(F.col("giver").alias("sid"), "shard", F.lit(-1).cast("long").alias("slots")), F.struct("sid", "shard", F.lit(1).cast("long").alias("slots")))).alias("c")).select("c.*")
-    return cut(drawn.unionByName(change).groupBy("sid", "shard").agg(F.sum("slots").alias("slots")).filter("slots > 0"))
-
-
-def _numbered(draw: DataFrame, slots: int, shard: int) -> DataFrame:
-    """A row for each slot of draw (sid, shard, slots), numbered through the shards of its source."""
+    # numbers go through the shards in an order of hashes, so the last ones, which pass to other sources, are of any shards
     parts = max(1, slots // shard // LEVEL_ROWS + 1)
-    before = running(draw.withColumn("part", F.expr(f"shard div {LEVEL_ROWS}")), "slots", ["sid"], "part", parts, [F.col("shard")], "before")
-    before = before.drop("part").repartition(pieces(draw.sparkSession), "sid", "shard")
-    return before.withColumn("number", F.expr("explode(sequence(before, before + slots - 1))")).drop("before", "slots")
+    before = running(drawn.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(parts))), {"before": "slots"}, ["sid"], "part", parts, [F.xxhash64("shard"), F.col("shard")])
+    known = before.drop("part").repartition(n, "sid", "shard").join(line.select("sid", "taken", "blocks", "over_low"), "sid")
+    number = known.withColumn("number", F.expr("explode(sequence(before, before + slots - 1))"))
+    given = number.filter("number >= taken").select("shard", (F.col("over_low") + F.col("number") - F.col("taken")).alias("at"))
+    passed = _covered(given.withColumn("unit", F.col("at")), line.selectExpr("sid", "under_low AS low", "under AS n"), moved, cells)
+    passed = passed.join(line.select("sid", "drawn", "blocks", "under_low"), "sid").select("shard", "sid", (F.col("drawn") + F.col("unit") - F.col("under_low")).alias("number"), "blocks")
+    return number.filter("number < taken").select("shard", "sid", "number", "blocks").unionByName(passed)
 
 
-def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = 64, shard: int = 1024, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The mix of docs (doc_id, text, source): placed documents, the draw of each shard, and the slots.
+def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = 64, shard: int = 1024, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The mix of docs (doc_id, text, source): placed documents, and the slots.
 
     placed: doc_id, size, sid, source_size, target, start (words of its source before it) and the columns named in keep,
-    by which rows of equal doc_id and size are placed in turn. draw: sid, shard, slots.
-    slots: shard, sid, block, the block's index in its source.
+    by which rows of equal doc_id and size are placed in turn. slots: shard, sid, block, the block's index in its source.
 
     Sizes are words; null and empty texts have none and are in no block. A null source is a source. Rows are documents
     each, whatever their doc_id; an empty table gives empty results.
@@ -136,19 +132,17 @@ def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     full = F.floor(F.col("target") / F.col("source_size")).cast("long")
     rest = F.round((F.col("target") - full * F.col("source_size")) * blocks / F.col("source_size")).cast("long")
     s = s.withColumn("blocks", blocks).withColumn("taken", F.when(F.col("source_size") > 0, F.least(full * blocks + rest, F.floor(blocks * float(most)).cast("long"))).otherwise(F.lit(0).cast("long")))
-    s = cut(running(s, "taken", [], "part", pieces(docs.sparkSession), [F.col("sid")], "first"))
+    s = cut(running(s, {"first": "taken"}, [], "part", pieces(docs.sparkSession), [F.col("sid")]))
     slots, sources = (int(x or 0) for x in s.agg(F.sum("taken"), F.count("*")).first())
 
     keyed = distinct.join(s.select("sid", F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     parts = rows // LEVEL_ROWS + 1
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", *keep), F.lit(parts))).withColumn("all", F.col("size") * F.col("copies"))
-    placed = running(keyed, "all", ["sid"], "bucket", parts, [F.col("doc_id"), F.col("size"), *map(F.col, keep)], "begin")
+    placed = running(keyed, {"begin": "all"}, ["sid"], "bucket", parts, [F.col("doc_id"), F.col("size"), *map(F.col, keep)])
     placed = placed.withColumn("start", F.expr("explode(transform(sequence(0L, copies - 1), i -> begin + i * size))")).drop("bucket", "all", "copies", "begin")
 
-    draw = draws(s, slots, sources, shard)
-    number = _numbered(draw.join(s.select("sid", "blocks"), "sid"), slots, shard)
     index = permuted("number % blocks", "blocks", "sid, number div blocks")
-    return placed, draw, number.select("shard", "sid", index.alias("block"))
+    return placed, drawn_slots(s, slots, sources, shard).select("shard", "sid", index.alias("block"))
 
 
 def _cover(placed: DataFrame, block: int) -> DataFrame:
@@ -163,7 +157,7 @@ def mixed_words(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     in doc_id, size and source are each counted, in no order among each other. A text of any length is counted whole. An
     empty table gives an empty result; other columns of docs are ignored, whatever their names.
     """
-    placed, _, slots = mixed_blocks(docs, weights, share, most, block, shard)
+    placed, slots = mixed_blocks(docs, weights, share, most, block, shard)
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
     part = _cover(placed, block).withColumn("words", F.expr(f"least(start + size, (block + 1) * {block}) - greatest(start, block * {block})"))
     key = ["sid", "start", "doc_id", "size", "source_size", "target"]
@@ -178,7 +172,7 @@ def mixed_spans(docs: DataFrame, key: str, weights: tuple[float, ...] = (5, 2, 1
     spans: (first, stop) in words of the row. The words that lie in drawn blocks come as often as these are drawn; of the
     blocks drawn n times or more, those that adjoin in a row of docs are one span for each n.
     """
-    placed, _, slots = mixed_blocks(docs, weights, share, most, block, shard, (key,))
+    placed, slots = mixed_blocks(docs, weights, share, most, block, shard, (key,))
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
     part = _cover(placed, block).join(times, ["sid", "block"]).selectExpr(
         key, "size", f"greatest(start, block * {block}) - start AS first", f"least(start + size, (block + 1) * {block}) - start AS stop", "explode(sequence(1L, times)) AS nth"

@@ -290,9 +290,39 @@ def test_mixing(docs, empty):
     again = mixing.mixed_words(docs.repartition(5), block=4).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert mixing.mixed_words(empty).count() == 0
-    _, draw, slots = mixing.mixed_blocks(docs, block=4, shard=16)
-    per_shard = draw.groupBy("shard").agg(F.sum("slots").alias("n")).orderBy("shard").collect()
-    assert all(r.n == 16 for r in per_shard[:-1]) and slots.count() == sum(r.n for r in per_shard)
+    _, slots = mixing.mixed_blocks(docs, block=4, shard=16)
+    slots = slots.toPandas()
+    per_shard = slots.groupby("shard").size().sort_index()
+    assert (per_shard.iloc[:-1] == 16).all() and list(per_shard.index) == list(range(len(per_shard)))
+    # counts of a source over the shards vary as those of a draw
+    big = slots[slots.shard < len(per_shard) - 1].groupby(["sid", "shard"]).size().unstack(fill_value=0)
+    share = big.sum(axis=1) / big.values.sum()
+    expected = 16 * share * (1 - share)
+    assert (0.3 * expected < big.var(axis=1)).all() and (big.var(axis=1) < 2.5 * expected + 1).all()
+    # each time through a source's blocks is a permutation of them
+    for _, own in slots.groupby("sid"):
+        times = own.groupby("block").size()
+        assert times.max() - times.reindex(range(times.index.max() + 1), fill_value=0).min() <= 1
+
+
+def test_running_sums_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 3)
+    r = np.random.default_rng(9)
+    data = [(int(k % 3), int(p), int(v), i) for i, (k, p, v) in enumerate(r.integers(0, [100, 200, 50], (900, 3)))]
+    df = spark.createDataFrame(data, "k long, part long, v long, i long")
+    got = {x.i: x.before for x in mixing.running(df, {"before": "v"}, ["k"], "part", 200, [F.col("i")]).collect()}
+    want, total = {}, Counter()
+    for k, p, v, i in sorted(data, key=lambda x: (x[0], x[1], x[3])):
+        want[i] = total[k]
+        total[k] += v
+    assert got == want
+
+
+def test_mixing_of_many_copies_without_id(spark):
+    """Rows alike in all that is placed are each documents; text and source may be null or empty."""
+    data = [(None, "a b c d e f g h", "s")] * 500 + [(1, None, "s"), (2, "", None), (None, None, None)]
+    got = mixing.mixed_words(spark.createDataFrame(data, "doc_id long, text string, source string"), block=4).collect()
+    assert len(got) == 503 and sum(x.taken for x in got) == 4000 and all(0 <= x.taken <= 3 * x.size for x in got)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
