@@ -23,10 +23,24 @@ STRICT = {"magic-constants", "test-assertions", "folder-structure"}
 USAGE = f"""usage: python -m sextant [--changed] [--coverage FILE] [--threshold N] [paths]
        python -m sextant profile --timings FILE [--name PART] [--threshold MS] [--top N] [paths]
        python -m sextant {{{' | '.join(GATES)}}} [options] [paths]
+       python -m sextant skill
 banned-imports takes --from GLOB --forbid GLOB [--message TEXT], each as often as there are rules.
 """
 
 
+SKILL = """---
+name: sextant
+description: Finds risky, slow and badly structured code of a JavaScript or TypeScript project.
+---
+Run `python -m sextant` in the project for its functions by change risk, the worst first; with coverage in
+coverage/coverage-final.json. A score over 8 is worth a test or a simpler function. Exit codes: 0 passed, 1 could not
+run, 2 over a threshold.
+
+Run `python -m sextant profile --timings FILE` for where time goes. Means below 30 microseconds are marked `~`: they mostly
+measure the measuring. Run a check by its name (`python -m sextant nesting`) before and after a change.
+"""
+
+
 class Usage(Exception):
     """Arguments that the command doesn't take."""
 
@@ -97,7 +111,7 @@ def analyze(spark: SparkSession, root: str, args: list[str]) -> int:
     if files.isEmpty():
         print("No source files found.")
         return 0
-    rows = source.parsed(listing.read(files)).persist()
+    rows = source.parsed(listing.read(files))
     path = o.get("--coverage", [os.path.join(root, "coverage", "coverage-final.json")])[-1]
     none = spark.createDataFrame([], "project string, rel_path string, start_line int, end_line int, hits long")
     st = none
@@ -117,7 +131,7 @@ def run_profile(spark: SparkSession, root: str, args: list[str]) -> int:
     limit = number(o["--threshold"][-1], "threshold") if "--threshold" in o else None
     top = int(number(o["--top"][-1], "top", 1, True)) if "--top" in o else 20
     if "--timings" not in o:
-        raise Usage("--timings is required")
+        raise Usage("--timings is required: running tests is left to the caller, see source.instrumented")
     found = timings.read(spark, o["--timings"][-1])
     rows = source.parsed(listing.read(_files(spark, root, paths)))
     inventory = source.methods(rows).select(F.col("rel_path").alias("file"), F.col("name").alias("method"), F.col("start_line").alias("line"), "method_id")
@@ -129,6 +143,24 @@ def run_profile(spark: SparkSession, root: str, args: list[str]) -> int:
     return 2 if limit is not None and any(r.total_micros / 1000 > limit for r in got) else 0
 
 
+def findings(spark: SparkSession, gate: str, files: DataFrame, everything: DataFrame, rules: list[tuple[str, str, str | None]]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Violations of a check in files, what it checked, and the parser's rows."""
+    if gate == "file-naming":
+        return source.file_naming(files), files, None
+    rows = source.parsed(listing.read(files) if "content" not in files.columns else files)
+    run = {
+        "nesting": lambda: (source.nesting(rows), source.methods(rows)),
+        "class-size": lambda: (source.class_size(rows), source.classes(rows)),
+        "weight-of-class": lambda: (source.weight_of_class(rows), source.classes(rows)),
+        "unused-code": lambda: (source.unused_code(rows), source.declarations(rows)),
+        "unused-files": lambda: (source.unused_files(rows, files, everything), files),
+        "banned-imports": lambda: (source.banned_imports(rows, everything, rules), files),
+        "magic-constants": lambda: (source.magic_constants(rows), files),
+        "test-assertions": lambda: (source.test_assertions(rows), source.tests(rows)),
+    }
+    return *run[gate](), rows
+
+
 def check(spark: SparkSession, gate: str, root: str, args: list[str]) -> int:
     o, paths = options(args, {"--from", "--forbid", "--message"} if gate == "banned-imports" else set(), strict=gate in STRICT) if gate in STRICT or gate == "banned-imports" else ({}, args)
     rules = rules_of(o)
@@ -146,7 +178,7 @@ def check(spark: SparkSession, gate: str, root: str, args: list[str]) -> int:
         print(text, end="")
         return code
     if gate == "test-assertions":
-        files = listing.explicit(spark, "", root, paths) if paths else listing.test_files(everything)
+        files = listing.explicit(spark, "", root, paths, tests=True) if paths else listing.test_files(everything)
     else:
         files = listing.gate_files(listing.explicit(spark, "", root, paths) if paths else everything)
     if gate == "banned-imports":
@@ -154,25 +186,14 @@ def check(spark: SparkSession, gate: str, root: str, args: list[str]) -> int:
     if files.isEmpty():
         print("No source files to check.")
         return 0
-    if gate == "file-naming":
-        text, code = render.gate_report(gate, source.file_naming(files), files.count())
-        print(text, end="")
-        return code
-    rows = source.parsed(listing.read(files)).persist()
-    if _warn(rows):
-        return 1
-    run = {
-        "nesting": lambda: (source.nesting(rows), source.methods(rows)),
-        "class-size": lambda: (source.class_size(rows), source.classes(rows)),
-        "weight-of-class": lambda: (source.weight_of_class(rows), source.classes(rows)),
-        "unused-code": lambda: (source.unused_code(rows), source.declarations(rows)),
-        "unused-files": lambda: (source.unused_files(rows, files, everything), files),
-        "banned-imports": lambda: (source.banned_imports(rows, everything, rules), files),
-        "magic-constants": lambda: (source.magic_constants(rows), files),
-        "test-assertions": lambda: (source.test_assertions(rows), source.tests(rows)),
-    }
-    violations, checked = run[gate]()
-    text, code = render.gate_report(gate, violations, checked.count(), len(rules))
+    violations, checked, rows = findings(spark, gate, files, everything, rules)
+    try:
+        if rows is not None and _warn(rows):
+            return 1
+        text, code = render.gate_report(gate, violations, checked.count(), len(rules))
+    finally:
+        if rows is not None:
+            rows.unpersist()
     print(text, end="")
     return code
 
@@ -180,6 +201,9 @@ def check(spark: SparkSession, gate: str, root: str, args: list[str]) -> int:
 def main(args: list[str], root: str = ".", spark: SparkSession | None = None) -> int:
     spark = spark or SparkSession.builder.appName("sextant").getOrCreate()
     try:
+        if args[:1] == ["skill"]:
+            print(SKILL + "To install: mkdir -p .agents/skills/sextant && python -m sextant skill > .agents/skills/sextant/SKILL.md")
+            return 0
         if args[:1] == ["profile"]:
             return run_profile(spark, root, args[1:])
         if args and args[0] in GATES:

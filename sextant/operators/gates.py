@@ -63,7 +63,7 @@ def class_size(totals: DataFrame, name: Column, most: int = MAX_METHODS, wmc: in
     """A row for each limit that a class is over: methods first, then weighted methods."""
     many = F.when(F.col("methods") > most, F.concat(name, F.lit(" has "), F.col("methods").cast("string"), F.lit(f" methods > max {most}")))
     heavy = F.when(F.col("wmc") > wmc, F.concat(name, F.lit(" WMC="), F.col("wmc").cast("string"), F.lit(f" > max {wmc}")))
-    return totals.withColumn("message", F.explode(F.array_compact(F.array(many, heavy))))
+    return totals.select("*", F.posexplode(F.array(many, heavy)).alias("limit", "message")).filter("message is not null")
 
 
 def class_weight(classes: DataFrame, members: DataFrame, keys: list[str], is_field: Column, is_method: Column) -> DataFrame:
@@ -88,14 +88,13 @@ def never_imported(files: DataFrame, targets: DataFrame, keys: list[str]) -> Dat
     return files.join(targets.select(*keys).distinct(), keys, "left_anti")
 
 
-def resolved(imports: DataFrame, listing: DataFrame, keys: list[str], candidates: Column, path: str) -> DataFrame:
-    """imports with resolved: the first candidate that is in the listing (keys, path); null if none is.
+def resolved(imports: DataFrame, listing: DataFrame, ids: list[str], keys: list[str], candidates: Column, path: str) -> DataFrame:
+    """imports, told apart by ids, with resolved: the first candidate that is in the listing (keys, path); null if none is.
 
     Candidates are unfolded with their order and meet the listing in a hash join; the least order wins."""
-    unique = imports.select(*[c for c in imports.columns])
-    c = unique.select("import_id", *keys, F.posexplode(candidates).alias("_at", path)).join(listing.select(*keys, path).distinct(), [*keys, path], "left_semi")
-    first = c.groupBy("import_id", *keys).agg(F.min_by(path, "_at").alias("resolved"))
-    return imports.join(first, ["import_id", *keys], "left")
+    c = imports.select(*ids, F.posexplode(candidates).alias("_at", path)).join(listing.select(*keys, path).distinct(), [*keys, path], "left_semi")
+    first = c.groupBy(*ids).agg(F.min_by(path, "_at").alias("resolved"))
+    return imports.join(first, ids, "left")
 
 
 def banned(imports: DataFrame, rules: list[tuple[str, str, str | None]], file: Column, targets: list[Column]) -> DataFrame:

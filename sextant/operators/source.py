@@ -1,12 +1,17 @@
 """Source code as tables: syntax nodes, and the functions, classes, imports, literals and tests found in them.
 
-parsed() runs the parser once; everything else is columns, joins and aggregates over its rows, keyed by
+parsed() runs the parser once and keeps its rows; everything else is columns, joins and aggregates over them, keyed by
 (project, rel_path), so no check parses again and none crosses a file unless it is about files.
+
+Violations carry seq, by which those of a file are told in the order of its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from fractions import Fraction
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import glob_pattern, import_candidates, normalised, utf16_length
@@ -15,8 +20,6 @@ from . import crap, gates
 
 KEYS = ["project", "rel_path"]
 # Names that decide results.
-ASSERT_SOURCES = ["assert", "node:assert", "assert/strict", "node:assert/strict"]
-TEST_REGISTRARS = ["test", "it"]
 CLASS_TYPES = ["ClassDeclaration", "ClassExpression"]
 METHOD_TYPES = ["ClassMethod", "ClassPrivateMethod"]
 FIELD_TYPES = ["ClassProperty", "ClassPrivateProperty"]
@@ -24,8 +27,11 @@ IDENTIFIER_POSITIONS = {"ObjectProperty": "key", "MemberExpression": "property",
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Node rows of files (project, rel_path, ext, content), and a row with error for each that doesn't parse."""
-    return files.select("project", "rel_path", "ext", "content").mapInArrow(flattened, SCHEMA)
+    """Node rows of files (project, rel_path, ext, content), and a row with error for each that doesn't parse.
+
+    They are persisted, in memory or on disk as there is room, since every check reads them several times; what a lost
+    executor held is parsed again. The caller may unpersist() them."""
+    return files.select("project", "rel_path", "ext", "content").mapInArrow(flattened, SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def failures(rows: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def is_concrete_method() -> Column:
 
 
 def nesting(rows: DataFrame) -> DataFrame:
-    return gates.nesting(methods(rows)).select(*KEYS, F.col("start_line").alias("line"), "message")
+    return gates.nesting(methods(rows)).select(*KEYS, F.col("method_id").alias("seq"), F.col("start_line").alias("line"), "message")
 
 
 def class_totals(rows: DataFrame) -> DataFrame:
@@ -74,7 +80,7 @@ def class_totals(rows: DataFrame) -> DataFrame:
 
 
 def class_size(rows: DataFrame) -> DataFrame:
-    return gates.class_size(class_totals(rows), F.col("name")).select(*KEYS, "line", "message")
+    return gates.class_size(class_totals(rows), F.col("name")).select(*KEYS, F.struct("class_id", "limit").alias("seq"), "line", "message")
 
 
 def class_weights(rows: DataFrame) -> DataFrame:
@@ -84,34 +90,43 @@ def class_weights(rows: DataFrame) -> DataFrame:
     return gates.class_weight(classes(rows), own, [*KEYS, "class_id"], field, is_concrete_method())
 
 
-def two_places(x: Column) -> Column:
-    """A weight with two places, one trailing zero and then a trailing point cut: for the messages, weights are 0 to 1.
+#: Odd numbers of two-hundredths, halfway between two hundredths, whose double lies below them.
+_BELOW = [n for n in range(1, 200, 2) if Fraction(n / 200) < Fraction(n, 200)]
 
-    Rounds the exact binary value half up: as a decimal of many places it isn't rounded twice."""
-    text = F.format_number(F.round(x.cast("decimal(38,30)"), 2), 2)
+
+def two_places(part: Column, whole: Column) -> Column:
+    """The double part / whole (0 to 1) with two places, one trailing zero and then a trailing point cut: for the messages.
+
+    Its exact binary value is rounded half up. Integers tell how far it is from halfway; only where the quotient is halfway
+    does the double's own side decide."""
+    doubled = part * 200
+    halfway = (doubled % whole == 0) & (doubled / whole % 2 == 1) & (doubled / whole).cast("int").isin(_BELOW)
+    hundredths = F.floor((doubled + whole) / (whole * 2)).cast("int") - halfway.cast("int")
+    text = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
     return F.regexp_replace(F.regexp_replace(text, "0$", ""), r"\.$", "")
 
 
 def weight_of_class(rows: DataFrame) -> DataFrame:
     w = gates.data_heavy(class_weights(rows))
-    return w.select(*KEYS, "line", F.concat("name", F.lit(" data weight "), two_places(F.col("weight")), F.lit(f" > max {gates.MAX_WEIGHT}")).alias("message"))
+    text = F.concat("name", F.lit(" data weight "), two_places(F.col("fields"), F.col("members")), F.lit(f" > max {gates.MAX_WEIGHT}"))
+    return w.select(*KEYS, F.col("class_id").alias("seq"), "line", text.alias("message"))
 
 
 def declarations(rows: DataFrame) -> DataFrame:
-    """Module-scope functions, classes and plainly named variables that are not exported: name, line."""
+    """Module-scope functions, classes and plainly named variables that are not exported: declaration_id, name, line."""
     top = rows.filter("parent_type = 'Program'")
-    named = top.filter(F.col("type").isin("FunctionDeclaration", "ClassDeclaration") & F.col("name").isNotNull()).select(*KEYS, "name", F.col("start_line").alias("line"))
+    named = top.filter(((F.col("type") == "FunctionDeclaration") & F.col("has_body") | (F.col("type") == "ClassDeclaration")) & F.col("name").isNotNull()).select(*KEYS, F.col("node_id").alias("declaration_id"), "name", F.col("start_line").alias("line"))
     lists = top.filter("type = 'VariableDeclaration'").select(*KEYS, F.col("node_id").alias("list_id"))
-    each = rows.filter("type = 'VariableDeclarator'").select(*KEYS, F.col("parent_id").alias("list_id"), F.col("node_id").alias("declarator_id"), F.col("start_line").alias("line"))
-    ids = rows.filter("parent_type = 'VariableDeclarator' and field = 'id' and type = 'Identifier'").select(*KEYS, F.col("parent_id").alias("declarator_id"), "name")
-    variables = each.join(lists, [*KEYS, "list_id"]).join(ids, [*KEYS, "declarator_id"]).select(*KEYS, "name", "line")
+    each = rows.filter("type = 'VariableDeclarator'").select(*KEYS, F.col("parent_id").alias("list_id"), F.col("node_id").alias("declaration_id"), F.col("start_line").alias("line"))
+    ids = rows.filter("parent_type = 'VariableDeclarator' and field = 'id' and type = 'Identifier'").select(*KEYS, F.col("parent_id").alias("declaration_id"), "name")
+    variables = each.join(lists, [*KEYS, "list_id"]).join(ids, [*KEYS, "declaration_id"]).select(*KEYS, "declaration_id", "name", "line")
     return named.unionByName(variables)
 
 
 def unused_code(rows: DataFrame) -> DataFrame:
     identifiers = rows.filter("type = 'Identifier'").select(*KEYS, "name")
     d = gates.unreferenced(declarations(rows), identifiers, [*KEYS, "name"])
-    return d.select(*KEYS, "line", F.concat("name", F.lit(" is never referenced in the module")).alias("message"))
+    return d.select(*KEYS, F.col("declaration_id").alias("seq"), "line", F.concat("name", F.lit(" is never referenced in the module")).alias("message"))
 
 
 def imports(rows: DataFrame) -> DataFrame:
@@ -126,13 +141,10 @@ def imports(rows: DataFrame) -> DataFrame:
 
 def resolved_imports(rows: DataFrame, listing: DataFrame) -> DataFrame:
     """imports with resolved, the file of the listing (project, rel_path) that a relative one leads to, or null."""
-    folder = F.regexp_replace("rel_path", r"[^/]*\z", "")
-    i = imports(rows).withColumn("importer", F.col("rel_path")).withColumn("id", F.struct("rel_path", "import_id"))
-    target = normalised(F.concat(folder, "specifier"))
-    relative = i.filter(F.col("specifier").startswith("."))
-    c = relative.select("project", "id", F.posexplode(import_candidates(target)).alias("at", "rel_path")).join(listing.select("project", "rel_path").distinct(), KEYS, "left_semi")
-    first = c.groupBy("project", "id").agg(F.min_by("rel_path", "at").alias("resolved"))
-    return i.join(first, ["project", "id"], "left").select(*KEYS, "import_id", "specifier", "resolved")
+    target = normalised(F.concat(F.regexp_replace("rel_path", r"[^/]*\z", ""), "specifier"))
+    candidates = F.when(F.col("specifier").startswith("."), import_candidates(target))
+    files = listing.select("project", F.col("rel_path").alias("target"))
+    return gates.resolved(imports(rows), files, [*KEYS, "import_id"], ["project"], candidates, "target")
 
 
 def unused_files(rows: DataFrame, files: DataFrame, listing: DataFrame) -> DataFrame:
@@ -163,70 +175,31 @@ def literals(rows: DataFrame) -> DataFrame:
 
 
 def magic_constants(rows: DataFrame) -> DataFrame:
-    """Hex colours outside const initialisers, and literals that repeat outside them; lines are where literals begin."""
-    loose = literals(rows).filter("not in_const")
+    """Hex colours outside const initialisers, and literals that repeat outside them; lines are where literals begin.
+
+    Of a file, colours come first, then values in the order of their first occurrence, in a const or not."""
     colours = rows.filter("type = 'NumericLiteral' and not in_const").filter(F.col("raw").rlike(gates.HEX_COLOR))
-    colours = colours.select(*KEYS, F.col("start_line").alias("line"), F.lit("hex color outside a constant declaration").alias("message"))
-    many = gates.repeated(loose, [*KEYS, "text"])
+    colours = colours.select(*KEYS, F.struct(F.lit(-1).alias("first"), "node_id").alias("seq"), F.col("start_line").alias("line"), F.lit("hex color outside a constant declaration").alias("message"))
+    every = literals(rows).withColumn("first", F.min("node_id").over(Window.partitionBy(*KEYS, "text")))
+    many = gates.repeated(every.filter("not in_const"), [*KEYS, "text"])
     text = F.concat(F.lit("literal "), "text", F.lit(" repeats "), F.col("occurrences").cast("string"), F.lit(" times — extract a named constant"))
-    return colours.unionByName(many.select(*KEYS, "line", text.alias("message")))
+    return colours.unionByName(many.select(*KEYS, F.struct("first", "node_id").alias("seq"), "line", text.alias("message")))
 
 
 def tests(rows: DataFrame) -> DataFrame:
-    """Registrations of tests with a function: test_id, name, line, and the function's node range."""
-    name = rows.filter(F.col("name").isin(TEST_REGISTRARS) & (F.col("type") == "Identifier"))
-    direct = name.filter("field = 'callee' and parent_type = 'CallExpression'").select(*KEYS, F.col("parent_id").alias("test_id"), F.col("name").alias("registrar"))
-    held = name.filter("field = 'object' and parent_type = 'MemberExpression'").select(*KEYS, F.col("parent_id").alias("node_id"), F.col("name").alias("registrar"))
-    callee = rows.filter("type = 'MemberExpression' and field = 'callee' and parent_type = 'CallExpression'").select(*KEYS, "node_id", F.col("parent_id").alias("test_id"))
-    calls = direct.unionByName(callee.join(held, [*KEYS, "node_id"]).drop("node_id"))
-    args = rows.filter("field = 'arguments' and parent_type = 'CallExpression'").select(*KEYS, F.col("parent_id").alias("test_id"), "node_id", "post", "type", "value")
-    f = F.col("type").isin("FunctionExpression", "ArrowFunctionExpression")
-    # the first argument's label and the first function, by their place in the file
-    of = args.groupBy(*KEYS, "test_id").agg(F.min_by(F.when(F.col("type") == "StringLiteral", F.col("value")), "node_id").alias("label"), F.min(F.when(f, F.col("node_id"))).alias("body_id"), F.min_by("post", F.when(f, F.col("node_id"))).alias("body_post"))
-    line = rows.filter("type = 'CallExpression'").select(*KEYS, F.col("node_id").alias("test_id"), F.col("start_line").alias("line"))
-    t = calls.join(of, [*KEYS, "test_id"]).filter("body_id is not null").join(line, [*KEYS, "test_id"])
-    return t.select(*KEYS, "test_id", F.coalesce("label", "registrar").alias("name"), "line", "body_id", "body_post")
-
-
-def assertion_calls(rows: DataFrame) -> DataFrame:
-    """Calls that may assert: call_id with root, the name that must be bound to an assert module, or context, the name
-    whose assert object is called."""
-    callee = rows.filter("field = 'callee' and parent_type = 'CallExpression'")
-    plain = callee.filter("type = 'Identifier'").select(*KEYS, F.col("parent_id").alias("call_id"), F.col("name").alias("root"), F.lit(None).cast("string").alias("context"))
-    member = callee.filter("type = 'MemberExpression'").select(*KEYS, F.col("parent_id").alias("call_id"), F.col("node_id").alias("member_id"))
-    object_ = rows.filter("field = 'object' and parent_type = 'MemberExpression'").select(*KEYS, F.col("parent_id").alias("member_id"), "node_id", "type", "name")
-    first = member.join(object_, [*KEYS, "member_id"])
-    rooted = first.filter("type = 'Identifier'").select(*KEYS, "call_id", F.col("name").alias("root"), F.lit(None).cast("string").alias("context"))
-    second = first.filter("type = 'MemberExpression'").select(*KEYS, "call_id", F.col("node_id").alias("member_id"))
-    holder = object_.filter("type = 'Identifier'").select(*KEYS, "member_id", F.col("name").alias("context"))
-    named = rows.filter("field = 'property' and parent_type = 'MemberExpression' and name = 'assert'").select(*KEYS, F.col("parent_id").alias("member_id"))
-    deep = second.join(holder, [*KEYS, "member_id"]).join(named, [*KEYS, "member_id"], "left_semi").select(*KEYS, "call_id", F.lit(None).cast("string").alias("root"), "context")
-    return plain.unionByName(rooted).unionByName(deep)
-
-
-def assert_bindings(rows: DataFrame) -> DataFrame:
-    """Names that top-level imports bind to an assert module."""
-    source = rows.filter((F.col("field") == "source") & (F.col("parent_type") == "ImportDeclaration") & F.col("value").isin(ASSERT_SOURCES)).select(*KEYS, F.col("parent_id").alias("import_id"))
-    s = rows.filter(F.col("type").isin("ImportSpecifier", "ImportDefaultSpecifier", "ImportNamespaceSpecifier")).select(*KEYS, F.col("parent_id").alias("import_id"), F.col("name").alias("root"))
-    return s.join(source, [*KEYS, "import_id"], "left_semi").select(*KEYS, "root").distinct()
+    """Registrations of tests with a function: test_id, name, line."""
+    return rows.filter("test_name is not null").select(*KEYS, F.col("node_id").alias("test_id"), F.col("test_name").alias("name"), F.col("start_line").alias("line"))
 
 
 def assertions(rows: DataFrame) -> DataFrame:
     """Assertion calls by the test whose function contains them; those in a nested test count for the outer one too."""
-    t = tests(rows)
-    first = rows.filter("field = 'params'").groupBy(*KEYS, F.col("parent_id").alias("body_id")).agg(F.min_by(F.when(F.col("type") == "Identifier", F.col("name")), "node_id").alias("context"))
-    calls = assertion_calls(rows)
-    inside = (F.col("call_id") > F.col("body_id")) & (F.col("call_id") <= F.col("body_post"))
-    bound = calls.filter("root is not null").join(assert_bindings(rows), [*KEYS, "root"], "left_semi")
-    one = t.join(bound.select(*KEYS, "call_id"), KEYS).filter(inside)
-    by_context = t.join(first.filter("context is not null"), [*KEYS, "body_id"]).join(calls.filter("context is not null").select(*KEYS, "call_id", "context"), [*KEYS, "context"]).filter(inside)
-    return one.select(*KEYS, "test_id", "call_id").union(by_context.select(*KEYS, "test_id", "call_id")).distinct()
+    return rows.filter("asserts_in is not null").select(*KEYS, F.col("node_id").alias("call_id"), F.explode("asserts_in").alias("test_id"))
 
 
 def test_assertions(rows: DataFrame) -> DataFrame:
     bad = gates.without_assertions(tests(rows), assertions(rows), [*KEYS, "test_id"])
     text = F.concat(F.lit("'"), "name", F.lit("' has "), F.col("assertions").cast("string"), F.lit(" assertion(s) — a test without assertions verifies nothing"))
-    return bad.select(*KEYS, "line", text.alias("message"))
+    return bad.select(*KEYS, F.col("test_id").alias("seq"), "line", text.alias("message"))
 
 
 def file_naming(files: DataFrame) -> DataFrame:
@@ -243,15 +216,15 @@ def folder_structure(loose: DataFrame, folder: str = "src") -> DataFrame:
 def instrumented(rows: DataFrame, files: DataFrame, timer: str = "__sextant_start", record: str = "__sextant_record") -> DataFrame:
     """project, rel_path, content with a timer around each block body: a function for a key `rel_path|name`.
 
-    Insertions are folded into the text from its end; empty blocks and expression bodies stay as they are, and so does
+    Insertions add no lines, so positions in messages stay right; empty blocks and expression bodies stay as they are, and so does
     a file without functions or one that doesn't parse."""
     m = rows.filter("method_name is not null").select(*KEYS, F.col("node_id").alias("function_id"), "method_name")
     body = rows.filter("type = 'BlockStatement' and field = 'body' and post > node_id").select(*KEYS, F.col("parent_id").alias("function_id"), "start_off", "end_off")
     b = m.join(body, [*KEYS, "function_id"])
     key = F.to_json(F.array(F.concat_ws("|", "rel_path", "method_name")))
     quoted = F.expr("substring(k, 2, length(k) - 2)")
-    opening = F.struct((F.col("start_off") + 1).alias("at"), F.lit(f"\n  const {timer} = performance.now();\n  try {{").alias("text"))
-    closing = F.struct((F.col("end_off") - 1).alias("at"), F.concat(F.lit(f"}} finally {{ {record}("), quoted, F.lit(f", {timer}); }}\n")).alias("text"))
+    opening = F.struct((F.col("start_off") + 1).alias("at"), F.lit(f"const {timer} = performance.now(); try {{").alias("text"))
+    closing = F.struct((F.col("end_off") - 1).alias("at"), F.concat(F.lit(f"}} finally {{ {record}({{ key: "), quoted, F.lit(f", since: {timer} }}); }}")).alias("text"))
     ins = b.withColumn("k", key).select(*KEYS, F.explode(F.array(opening, closing)).alias("i"))
     each = ins.groupBy(*KEYS).agg(F.array_sort(F.collect_list("i")).alias("ins"))
     out = files.select(*KEYS, "content").join(each, KEYS, "left")

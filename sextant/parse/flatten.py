@@ -2,7 +2,7 @@
 
 A node's descendants are the rows with node_id in (node_id, post]. What checks need of ancestors is computed in the same
 walk: the complexity and nesting of each function's body, the class that a method belongs to, whether a literal begins
-on a line of a const initialiser, and which test, if any, a registration's body is.
+on a line of a const initialiser, and the tests that an assertion is in.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ COMPLEXITY_TYPES = {"IfStatement", "ForStatement", "ForInStatement", "ForOfState
 NESTING_TYPES = {"IfStatement", "ForStatement", "ForInStatement", "ForOfStatement", "WhileStatement", "DoWhileStatement", "SwitchStatement", "TryStatement"}
 FUNCTION_LIKE = {"FunctionExpression", "ArrowFunctionExpression"}
 ANONYMOUS = "<anonymous>"
+ASSERT_SOURCES = {"assert", "node:assert", "assert/strict", "node:assert/strict"}
+TEST_REGISTRARS = {"test", "it"}
 
 SCHEMA = (
     "project string, rel_path string, error string, node_id int, post int, parent_id int, parent_type string, field string, type string, start_line int, end_line int, "
     "start_off int, end_off int, name string, value string, raw string, operator string, kind string, is_static boolean, computed boolean, has_body boolean, "
-    "method_name string, complexity int, nesting int, in_const boolean"
+    "method_name string, complexity int, nesting int, in_const boolean, test_name string, asserts_in array<int>"
 )
-_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 FIELDS = [tuple(c.split()) for c in SCHEMA.split(", ")]
 
 
@@ -102,6 +104,53 @@ class Walk:
             stack += [(c, owner) for c in reversed(inside)]
 
 
+def _root(callee: Node | None) -> tuple[str | None, str | None]:
+    """Of a call's callee: the name it begins with, if it is that or a member of that; the name whose assert object it is of."""
+    if callee is not None and callee.type == "Identifier":
+        return callee.name, None
+    if callee is None or callee.type != "MemberExpression":
+        return None, None
+    o = callee.get("object")
+    if o is not None and o.type == "Identifier":
+        return o.name, None
+    if o is not None and o.type == "MemberExpression" and (p := o.get("property")) is not None and p.name == "assert" and (c := o.get("object")) is not None and c.type == "Identifier":
+        return None, c.name
+    return None, None
+
+
+class Tests:
+    """Registrations of tests with a function, by node, and the tests that each asserting call is in.
+
+    A call asserts if it begins with a name that an import binds to an assert module, or is of the assert object of the test
+    function's first parameter. In a nested test it counts for the outer one too."""
+
+    def __init__(self, walk: Walk, ids: dict[int, int]) -> None:
+        self.names: dict[int, str] = {}
+        self.asserts: dict[int, list[int]] = {}
+        bound: set[str] = set()
+        bodies: dict[int, tuple[int, str | None]] = {}
+        for n, _, _ in walk.order:
+            if n.type == "ImportDeclaration" and (s := n.get("source")) is not None and s.value in ASSERT_SOURCES:
+                bound.update(c.name for _, c in n.children if c.type in ("ImportSpecifier", "ImportDefaultSpecifier", "ImportNamespaceSpecifier"))
+            if n.type == "CallExpression" and (r := _root(n.get("callee"))[0]) in TEST_REGISTRARS:
+                args = n.all("arguments")
+                if (f := next((a for a in args if a.type in FUNCTION_LIKE), None)) is not None:
+                    self.names[id(n)] = args[0].value if args[0].type == "StringLiteral" else r
+                    p = next(iter(f.all("params")), None)
+                    bodies[id(f)] = ids[id(n)], p.name if p is not None and p.type == "Identifier" else None
+        inside: list[tuple[int, int, str | None]] = []  # tests that the walk is in: the last node, the test, its context
+        for k, (n, _, _) in enumerate(walk.order):
+            while inside and k > inside[-1][0]:
+                inside.pop()
+            if inside and n.type == "CallExpression":
+                root, context = _root(n.get("callee"))
+                own = [t for _, t, c in inside if root in bound or context is not None and context == c]
+                if own:
+                    self.asserts[id(n)] = own
+            if id(n) in bodies:
+                inside.append((k + walk.size[id(n)] - 1, *bodies[id(n)]))
+
+
 def rows(src: str, extension: str) -> Iterator[dict]:
     """Rows of a source text; raises SyntaxFailure where it doesn't parse."""
     top = parse(src, extension)
@@ -115,6 +164,7 @@ def rows(src: str, extension: str) -> Iterator[dict]:
                 if (init := d.get("init")) is not None:
                     constant.update(range(line(init.start), line(max(init.start, init.end - 1)) + 1))
     ids = {id(n): k for k, (n, _, _) in enumerate(walk.order)}
+    tests = Tests(walk, ids)
     for k, (n, parent, field) in enumerate(walk.order):
         first, body = line(n.start), n.get("body")
         named = walk.names.get(id(n))
@@ -125,6 +175,7 @@ def rows(src: str, extension: str) -> Iterator[dict]:
             "field": field or None, "type": n.type, "start_line": first, "end_line": line(max(n.start, n.end - 1)), "start_off": n.start, "end_off": n.end, "name": n.name,
             "value": n.value, "raw": n.raw, "operator": n.operator, "kind": n.kind, "is_static": n.is_static, "computed": n.computed, "has_body": n.has_body,
             "method_name": named, "complexity": 1 + walk.branches[id(body)] if measured else None, "nesting": 1 + walk.depth[id(body)] if measured else None, "in_const": first in constant,
+            "test_name": tests.names.get(id(n)), "asserts_in": tests.asserts.get(id(n)),
         }
 
 

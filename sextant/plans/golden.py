@@ -5,14 +5,20 @@ They run the parser and every check for real; the driver's tables have no source
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension
 from ..operators import crap, gates, source
-from ..sources import listing
+from .. import cli, render
+from ..sources import listing, timings
 
 CORPUS: dict[str, str] = {
     "src/mixed.js": """\
@@ -89,14 +95,13 @@ export class Calm { a = 1; one() {} two() {} three() {} }
 export const C = class { m() { return class Inner { n() {} }; } };
 """,
     "src/magic.js": """\
-el.color = 0x3366ff;
-const ACCENT = 0xff3366;
-let mut = 0xdeadbeef;
-f(86400); g(86400); h(86400);
-f('hello'); g(`hello`); h("hello");
-f(x['night-mode'], { 'night-mode': 1 }); switch (x) { case 'night-mode': g('night-mode'); }
-const A = 12345, B = 12345, D = 12345;
-f('no'); f('no'); f('no');
+const ROOF = 0x8a4b2c;
+const moor = 'heather', fen = wade('heather'), tarn = ['heather'];
+paint(0x5d7fa1ff, wall);
+let gate = 0x204060;
+tide(1440.5, 'ebb'); tide(1440.5, 'ebb'); tide('ebb');
+wade('heather'); wade(`heather`); tide(1440.5); wade("heather");
+wade(map['low-road'], { 'low-road': 2 }); switch (map) { case 'low-road': wade('low-road'); }
 """,
     "src/main.js": """\
 const b = require('./lib');
@@ -211,8 +216,8 @@ def code_weight(spark: SparkSession) -> DataFrame:
     ("src/dead.js", 3, "dead is never referenced in the module"), ("src/dead.js", 4, "gone is never referenced in the module"), ("src/dead.js", 5, "Lost is never referenced in the module"),
     ("src/names.jsx", 1, "g is never referenced in the module"), ("src/names.jsx", 5, "o is never referenced in the module"), ("src/names.jsx", 6, "Box is never referenced in the module"),
     ("src/deep.js", 1, "deep is never referenced in the module"), ("src/deep.js", 4, "flat is never referenced in the module"), ("src/deep.js", 5, "chain is never referenced in the module"),
-    ("src/magic.js", 2, "ACCENT is never referenced in the module"), ("src/magic.js", 3, "mut is never referenced in the module"), ("src/magic.js", 7, "A is never referenced in the module"),
-    ("src/magic.js", 7, "B is never referenced in the module"), ("src/magic.js", 7, "D is never referenced in the module"), ("src/main.js", 1, "b is never referenced in the module"),
+    ("src/magic.js", 1, "ROOF is never referenced in the module"), ("src/magic.js", 2, "moor is never referenced in the module"), ("src/magic.js", 2, "fen is never referenced in the module"),
+    ("src/magic.js", 2, "tarn is never referenced in the module"), ("src/magic.js", 4, "gate is never referenced in the module"), ("src/main.js", 1, "b is never referenced in the module"),
 ])
 def code_unused(spark: SparkSession) -> DataFrame:
     return source.unused_code(_rows(spark))
@@ -236,8 +241,8 @@ def code_banned(spark: SparkSession) -> DataFrame:
     return source.banned_imports(_rows(spark), files(spark), rules)
 
 
-@golden("rel_path, line, message", "VARCHAR, INT, VARCHAR", [("src/magic.js", 1, "hex color outside a constant declaration"), ("src/magic.js", 3, "hex color outside a constant declaration")]
-    + [("src/magic.js", 4, "literal 86400 repeats 3 times — extract a named constant")] * 3 + [("src/magic.js", 5, "literal hello repeats 3 times — extract a named constant")] * 3)
+@golden("rel_path, line, message", "VARCHAR, INT, VARCHAR", _MAGIC := [("src/magic.js", 3, "hex color outside a constant declaration"), ("src/magic.js", 4, "hex color outside a constant declaration")]
+    + [("src/magic.js", 6, "literal heather repeats 3 times — extract a named constant")] * 3 + [("src/magic.js", k, "literal 1440.5 repeats 3 times — extract a named constant") for k in (5, 5, 6)])
 def code_magic(spark: SparkSession) -> DataFrame:
     return source.magic_constants(_rows(spark))
 
@@ -264,8 +269,161 @@ def code_summary(spark: SparkSession) -> DataFrame:
 
 
 @golden("rel_path, content", "VARCHAR, VARCHAR", [
-    ("src/i.js", "// é\nfunction f() {\n  const __sextant_start = performance.now();\n  try { return () => 1; } finally { __sextant_record(\"src/i.js|f\", __sextant_start); }\n}\nfunction empty() {}\n"), ("src/bad.js", "}}}"),
+    ("src/i.js", "// é\nfunction f() {const __sextant_start = performance.now(); try { return () => 1; } finally { __sextant_record({ key: \"src/i.js|f\", since: __sextant_start }); }}\nfunction empty() {}\n"), ("src/bad.js", "}}}"),
 ])
 def code_instrumented(spark: SparkSession) -> DataFrame:
     text = spark.createDataFrame([("p", "src/i.js", "js", "// é\nfunction f() { return () => 1; }\nfunction empty() {}\n"), ("p", "src/bad.js", "js", "}}}")], "project string, rel_path string, ext string, content string")
     return source.instrumented(source.parsed(text), text)
+
+
+def _source(spark: SparkSession, **texts: str) -> DataFrame:
+    """Source files of project p under src."""
+    return spark.createDataFrame([("p", f"src/{k}.js", "js", v) for k, v in texts.items()], "project string, rel_path string, ext string, content string")
+
+
+def _numbered(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in their order, numbered from 1; for what is told line by line."""
+    rows = [(n, *(r[c] for c in columns)) for n, r in enumerate(df.collect(), 1)]
+    kinds = dict(df.dtypes)
+    return df.sparkSession.createDataFrame(rows, ", ".join(["n int", *(f"{c} {kinds[c]}" for c in columns)]))
+
+
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "n int, line string")
+
+
+@golden("name, message", "VARCHAR, VARCHAR", [
+    (f"W{k}", f"W{k} data weight {text} > max 0.33") for k, text in enumerate(("0.42", "0.34", "0.38", "0.5", "1.0", "0.67"))
+])
+def code_weight_text(spark: SparkSession) -> DataFrame:
+    """Quotients halfway between two hundredths are rounded by their exact binary values: 17/40 and 69/200 lie below, 3/8 is exact."""
+    text = " ".join(f"class W{k} {{ {' '.join(f'f{i} = 1;' for i in range(f))} {' '.join(f'm{i}() {{}}' for i in range(m))} }}" for k, (f, m) in enumerate(((17, 23), (69, 131), (3, 5), (1, 1), (2, 0), (2, 1))))
+    w = source.weight_of_class(source.parsed(_source(spark, w=text)))
+    return w.withColumn("name", F.substring_index("message", " ", 1))
+
+
+_TWENTY_SIX = " ".join(f"m{i}() {{}}" for i in range(26))
+
+
+@golden("n, rel_path, line, message", "INT, VARCHAR, INT, VARCHAR", [
+    (1, "src/a.js", 1, "Also has 26 methods > max 25"), (2, "src/z.js", 1, "Late has 26 methods > max 25"), (3, "src/z.js", 1, "Late WMC=106 > max 80"), (4, "src/z.js", 2, "Early has 26 methods > max 25"),
+])
+def code_emission_classes(spark: SparkSession) -> DataFrame:
+    """Classes of a file in the order of its text, not of their names; methods before weighted methods."""
+    heavy = _TWENTY_SIX.replace("m0() {}", "m0() { " + "if (a) b(); " * 80 + "}")
+    rows = source.parsed(_source(spark, z=f"class Late {{ {heavy} }}\nclass Early {{ {_TWENTY_SIX} }}", a=f"class Also {{ {_TWENTY_SIX} }}"))
+    return _numbered(render.in_order(source.class_size(rows)), "rel_path", "line", "message")
+
+
+@golden("n, rel_path, line, message", "INT, VARCHAR, INT, VARCHAR", [
+    (k, *_MAGIC[i]) for k, i in enumerate((0, 1, 2, 3, 4, 5, 6, 7), 1)
+])
+def code_emission_literals(spark: SparkSession) -> DataFrame:
+    """Colours first, then values by their first occurrence, though that is in a const, each with its occurrences in order."""
+    return _numbered(render.in_order(source.magic_constants(_rows(spark))), "rel_path", "line", "message")
+
+
+@golden("rel_path", "VARCHAR", [("src/lib/index.js",), ("src/names.jsx",), ("src/typed.ts",)])
+def code_ruled(spark: SparkSession) -> DataFrame:
+    """Files that a rule applies to."""
+    rules = [(source.glob_pattern(a), "", None) for a in ("src/lib/**", "src/*.?s?", "**/typed.*")]
+    return gates.ruled(listing.gate_files(files(spark)), rules, F.col("rel_path"))
+
+
+@golden("file, method, calls, total_micros, min_micros, max_micros", "VARCHAR, VARCHAR, BIGINT, BIGINT, BIGINT, BIGINT", [("src/a|b.js", "run", 3, 90, 10, 50), ("src/c.js", "<anonymous>", 1, 5, 5, 5)])
+def code_timings(spark: SparkSession) -> DataFrame:
+    """Timing documents: a key's last bar divides; text that is no JSON has no rows."""
+    texts = ['{"src/a|b.js|run": {"calls": 3, "totalMicros": 90, "minMicros": 10, "maxMicros": 50}}', "[", '{"src/c.js|<anonymous>": {"calls": 1, "totalMicros": 5, "minMicros": 5, "maxMicros": 5}}']
+    return timings.unpacked(spark.createDataFrame([(t,) for t in texts], "value string"))
+
+
+_HEAD = "Method                         File                                  CC    Cov%     CRAP"
+
+
+@golden("n, line", "INT, VARCHAR", list(enumerate([
+    "CRAP Report", "===========", _HEAD, "-" * len(_HEAD),
+    "deep                           src/deep.js                            7    0.0%     56.0",
+    "flat                           src/deep.js                            1  100.0%      1.0",
+    "chain                          src/deep.js                            4     N/A      N/A",
+    "", "Max CRAP: 56.0 (threshold 8.0) — FAILED", "Parse failures: 2 file(s) — see warnings above.",
+], 1)))
+def code_report(spark: SparkSession) -> DataFrame:
+    """The ranked report as text."""
+    return _lines(spark, render.crap_report(code_crap(spark).toLocalIterator(), 8.0, 2)[0])
+
+
+_PROFILE_HEAD = " TOTAL(ms)      %  CALLS   MEAN(µs)   MAX(µs)  @60fps(ms) METHOD                         FILE:LINE"
+
+
+@golden("n, line", "INT, VARCHAR", list(enumerate([
+    "Profile Report (3 methods, total 1.01ms)", _PROFILE_HEAD, "-" * len(_PROFILE_HEAD),
+    "      0.90  88.7%      2      450.0       500       27.00 slow                           src/b.js:5",
+    "      0.10   9.9%     10      ~10.0        20        0.60 fast                           src/a.js:1",
+    "Full report: profile-reports/ (txt + json)", "Threshold: 0.50ms — 1 method(s) exceed",
+], 1)))
+def code_profile(spark: SparkSession) -> DataFrame:
+    """The table of the two hottest functions, a mean below the noise floor marked, and the threshold's line."""
+    t = spark.createDataFrame([("src/a.js", "fast", 1, 10, 100, 20), ("src/b.js", "slow", 5, 2, 900, 500), ("src/c.js", "rare", 9, 1, 15, 15)], "file string, method string, line int, calls long, total_micros long, max_micros long")
+    return _lines(spark, render.profile_report(t.collect(), 2, 0.5))
+
+
+@golden("n, source, forbidden, note", "INT, VARCHAR, VARCHAR, VARCHAR", [(1, "a/**", "b/**", "first"), (2, "c", "d", None)])
+def code_rules(spark: SparkSession) -> DataFrame:
+    """Rules from options: the n-th note goes with the n-th pair."""
+    o, _ = cli.options(["--from", "a/**", "--forbid=b/**", "--message", "first", "--forbid", "d", "--from=c"], {"--from", "--forbid", "--message"})
+    return spark.createDataFrame([(n, *r) for n, r in enumerate(cli.rules_of(o), 1)], "n int, source string, forbidden string, note string")
+
+
+@golden("given, value", "VARCHAR, DOUBLE", [("8", 8.0), (" 0.5 ", 0.5), ("", 0.0), ("0x10", 16.0), ("1e2", 100.0), ("-1", None), ("x", None), ("1_0", None)])
+def code_numbers(spark: SparkSession) -> DataFrame:
+    """Numbers of options; null where they are refused."""
+
+    def one(text: str) -> float | None:
+        try:
+            return cli.number(text, "threshold")
+        except cli.Usage:
+            return None
+
+    return spark.createDataFrame([(t, one(t)) for t in ("8", " 0.5 ", "", "0x10", "1e2", "-1", "x", "1_0")], "given string, value double")
+
+
+_GATES: dict[str, tuple[str, int]] = {
+    "file-naming": ("2/13 files with mechanical names", 2), "nesting": ("1/27 methods nested deeper than 5", 2), "class-size": ("7 classes within 25 methods/WMC 80", 0), "weight-of-class": ("3/7 classes over weight 0.33", 2),
+    "unused-code": ("15 unused declarations in 18 module-scope declarations", 2), "unused-files": ("9/13 files never imported", 2), "banned-imports": ("2 banned import(s) in 13 files", 2),
+    "magic-constants": ("8 magic constant(s) in 13 files", 2), "test-assertions": ("3/6 tests without assertions", 2), "folder-structure": ("1 directory(ies) with loose-file sprawl", 2),
+}
+
+
+@golden("gate, summary, exit_code", "VARCHAR, VARCHAR, INT", [(k, *v) for k, v in _GATES.items()])
+def code_gates(spark: SparkSession) -> DataFrame:
+    """The last line and exit code of every check, with the units it counts."""
+    every, out = files(spark), []
+    rules = [("src/**", "db/**", "layers"), ("src/*.js", "lodash", None)]
+    for gate in _GATES:
+        if gate == "folder-structure":
+            bad, n = source.folder_structure(listing.loose(every)), 1
+        else:
+            bad, checked, _ = cli.findings(spark, gate, listing.test_files(every) if gate == "test-assertions" else listing.gate_files(every), every, rules)
+            n = checked.count()
+        text, code = render.gate_report(gate, bad, n, len(rules))
+        out.append((gate, text.splitlines()[-1], code))
+    return spark.createDataFrame(out, "gate string, summary string, exit_code int")
+
+
+@golden("kind, rel_path", "VARCHAR, VARCHAR", [
+    *(("all", p) for p in ("readme.md", "src/a.js", "src/a.test.js", "src/sub/b.tsx", "test/t.js")), ("gates", "src/a.js"), ("gates", "src/sub/b.tsx"), ("tests", "src/a.test.js"), ("tests", "test/t.js"),
+    ("loose", "src/a.js"), ("loose", "src/a.test.js"), ("explicit", "src/a.js"), ("explicit", "src/sub/b.tsx"), ("explicit tests", "src/a.js"), ("explicit tests", "src/a.test.js"), ("explicit tests", "src/sub/b.tsx"),
+])
+def code_listing(spark: SparkSession) -> DataFrame:
+    """File sets of a folder that is made here, which all executors must see: on a cluster, TMPDIR has to be shared."""
+    root = tempfile.mkdtemp(prefix="sextant-")
+    atexit.register(shutil.rmtree, root, True)
+    for p in ("readme.md", "src/a.js", "src/a.test.js", "src/sub/b.tsx", "src/node_modules/x.js", "test/t.js"):
+        os.makedirs(os.path.dirname(os.path.join(root, p)) or root, exist_ok=True)
+        with open(os.path.join(root, p), "w") as f:
+            f.write("f();\n")
+    every = listing.listing(spark, {"p": root})
+    named = ["src", "src/a.js", "nowhere"]
+    sets = {"all": every, "gates": listing.gate_files(every), "tests": listing.test_files(every), "loose": listing.loose(every), "explicit": listing.explicit(spark, "p", root, named), "explicit tests": listing.explicit(spark, "p", root, named, tests=True)}
+    parts = [df.select(F.lit(k).alias("kind"), "rel_path") for k, df in sets.items()]
+    return reduce(DataFrame.unionAll, parts)

@@ -3,8 +3,7 @@
 The tables hold no source code, so their columns stand in for it: an order is a file or class, its line items are
 statements or members, and so on. Each query calls the operator that serves source code, with its real parameters
 unless a comment says otherwise; the parser's own queries are in plans.golden. loose_files and coverage_json_explode are
-plain analogues, which call no operator: that of loose files runs in golden, coverage.statements in the two queries of
-coverage documents.
+plain analogues, which call no operator: that of loose files runs in golden, coverage.statements in coverage_documents.
 """
 
 from __future__ import annotations
@@ -137,7 +136,7 @@ def import_resolution_first_hit(spark: SparkSession, d: str) -> DataFrame:
     listing = unused_files_anti(spark, d).select(F.lit(0).alias("project"), F.col("o_orderkey").alias("path"))
     imports = read(spark, d, "orders").select(F.lit(0).alias("project"), F.col("o_custkey").alias("import_id")).distinct()
     candidates = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.col("import_id") * 10 + i)
-    return gates.resolved(imports, listing, ["project"], candidates, "path").select(F.col("import_id").alias("spec"), "resolved")
+    return gates.resolved(imports, listing, ["project", "import_id"], ["project"], candidates, "path").select(F.col("import_id").alias("spec"), "resolved")
 
 
 @query("""
@@ -233,20 +232,11 @@ def coverage_json_explode(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", F.explode(m).alias("key", "value"))
 
 
-@query("""
-WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) % 3 AS span, CAST(l_returnflag <> 'N' AS INT) AS hit, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice, l_returnflag) AS i FROM lineitem)
-SELECT 'src/' || l_orderkey || '.js' AS rel_path, CAST(i AS VARCHAR) AS stmt_id, l_linenumber AS start_line, CAST(l_linenumber + span AS INT) AS end_line, CAST(hit AS BIGINT) AS hits FROM s WHERE l_orderkey % 50 = 0
-""")
-def coverage_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Statements of coverage documents, one JSON text for each order that a fixture of every fiftieth order makes."""
-    return _covered(read(spark, d, "lineitem").filter("l_orderkey % 50 = 0"))
-
-
 @query("""
 WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) % 3 AS span, CAST(l_returnflag <> 'N' AS INT) AS hit, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice, l_returnflag) AS i FROM lineitem)
 SELECT 'src/' || l_orderkey || '.js' AS rel_path, CAST(i AS VARCHAR) AS stmt_id, l_linenumber AS start_line, CAST(l_linenumber + span AS INT) AS end_line, CAST(hit AS BIGINT) AS hits FROM s
 """)
-def coverage_all_documents(spark: SparkSession, d: str) -> DataFrame:
+def coverage_documents(spark: SparkSession, d: str) -> DataFrame:
     """Statements of coverage documents, one JSON text for each order."""
     return _covered(read(spark, d, "lineitem"))
 

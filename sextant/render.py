@@ -95,13 +95,17 @@ SUMMARIES = {
 }
 
 
+def in_order(violations: DataFrame) -> DataFrame:
+    """Violations by file and, in a file, in the order in which its text gives them."""
+    return violations.orderBy(*(c for c in ("rel_path", "seq") if c in violations.columns))
+
+
 def gate_report(gate: str, violations: DataFrame, checked: int, rules: int = 0) -> tuple[str, int]:
     """Lines `file[:line]: message`, the summary, and the exit code: 2 if there are violations."""
-    order = [c for c in ("rel_path", "line", "message") if c in violations.columns]
     lines, n = [], 0
-    for r in violations.orderBy(*order).toLocalIterator():
+    for r in in_order(violations).toLocalIterator():
         n += 1
-        line = f":{r.line}" if "line" in order and r.line else ""
+        line = f":{r.line}" if "line" in violations.columns and r.line else ""
         lines.append(f"{r.rel_path}{line}: {r.message}")
     lines.append(SUMMARIES[gate][n > 0].format(checked=checked, violations=n, rules=rules))
     return "\n".join(lines) + "\n", 2 if n else 0

@@ -1,11 +1,12 @@
 """Files of projects as (project, rel_path, ext, content): walks, explicit paths, and the file sets of the checks.
 
-Spark's own readers hide names that start with a point or an underscore, which count here, so listing is a walk on the
-driver; it yields paths alone. Contents are read where the rows are, from a folder that all executors see.
+Spark's own readers hide names that start with a point or an underscore, which count here, so listing is a walk; each
+project is walked by a task, as contents are read where the rows are, from a folder that all executors see.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -30,12 +31,21 @@ def walk(root: str, inside: str = "") -> Iterator[str]:
 
 def listing(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """All files of projects by their roots, sources or not."""
-    found = [(p, root, rel) for p, root in roots.items() for rel in walk(root)]
-    return spark.createDataFrame(found, LISTED).withColumn("ext", extension(F.col("rel_path")))
+    df = spark.createDataFrame([(p, os.path.abspath(root)) for p, root in roots.items()], "project string, root string").repartition(max(1, len(roots)), "project")
+    return df.mapInArrow(_walked, LISTED).withColumn("ext", extension(F.col("rel_path")))
 
 
-def explicit(spark: SparkSession, project: str, root: str, paths: list[str]) -> DataFrame:
-    """Source files that paths name, folders walked; paths that don't exist are skipped, each file comes once."""
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            paths = walk(r["root"])
+            while some := list(itertools.islice(paths, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[c]] * len(some)) for c in ("project", "root")] + [pa.array(some)], names=["project", "root", "rel_path"])
+
+
+def explicit(spark: SparkSession, project: str, root: str, paths: list[str], tests: bool = False) -> DataFrame:
+    """Source files that paths name, folders walked; paths that don't exist are skipped, each file comes once. Test files
+    are left out unless they are asked for."""
     out: set[str] = set()
     for p in paths:
         full = os.path.normpath(os.path.join(root, p))
@@ -44,7 +54,7 @@ def explicit(spark: SparkSession, project: str, root: str, paths: list[str]) ->
         elif os.path.isfile(full):
             out.add(os.path.relpath(full, root).replace(os.sep, "/"))
     df = spark.createDataFrame([(project, root, p) for p in sorted(out)], LISTED).withColumn("ext", extension(F.col("rel_path")))
-    return df.filter(is_source(F.col("rel_path")) & ~is_test_file(F.col("rel_path")))
+    return df.filter(is_source(F.col("rel_path")) & (F.lit(tests) | ~is_test_file(F.col("rel_path"))))
 
 
 def sources(files: DataFrame) -> DataFrame:

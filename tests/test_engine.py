@@ -211,6 +211,9 @@ def test_command_line(spark, project, capsys):
     assert run("nesting") == (0, "1 methods within nesting 5\n")
     code, out = run("test-assertions")
     assert code == 2 and "src/sub/a.test.js:1: 'x' has 0 assertion(s)" in out and "1/2 tests" in out
+    code, out = run("test-assertions", "src/sub/a.test.js")
+    assert code == 2 and "src/sub/a.test.js:1: 'x' has 0 assertion(s)" in out and "1/1 tests" in out
+    assert run("skill")[0] == 0
     assert run("folder-structure")[0] == 2 and run("folder-structure", "x")[0] == 1
     assert run("unused-code", "src")[0] == 0
     assert run("banned-imports")[0] == 0 and run("banned-imports", "--bogus=1")[0] == 1
@@ -258,8 +261,26 @@ def test_failures_are_rows(spark):
     assert {r.rel_path for r in source.nodes(rows_).collect()} == {"b.js", "c.js"}
 
 
-def test_weights_in_messages(spark):
-    df = spark.createDataFrame([(0.5,), (2 / 3,), (1.0,), (0.4,)], "w double")
-    assert [r.x for r in df.select(source.two_places(F.col("w")).alias("x")).collect()] == ["0.5", "0.67", "1.0", "0.4"]
+@pytest.mark.parametrize("part, whole, want", [(1, 2, "0.5"), (2, 3, "0.67"), (1, 1, "1.0"), (2, 5, "0.4"), (17, 40, "0.42"), (69, 200, "0.34"), (3, 8, "0.38"), (1, 200, "0.01"), (87, 200, "0.43")])
+def test_weights_in_messages(spark, part, whole, want):
+    got = spark.createDataFrame([(part, whole)], "p long, w long").select(source.two_places(F.col("p"), F.col("w")).alias("x")).first().x
+    text = render.to_fixed(part / whole, 2)
+    assert got == want == (text[:-1] if text.endswith("0") else text).removesuffix(".")
 
 
+def test_two_places_is_to_fixed(spark):
+    """Every quotient of small counts, against the exact decimal."""
+    pairs = [(p, w) for w in range(1, 202) for p in range(w + 1) if w > 190 or w < 41]
+    got = spark.createDataFrame(pairs, "p long, w long").select("p", "w", source.two_places(F.col("p"), F.col("w")).alias("x")).collect()
+    for r in got:
+        text = render.to_fixed(r.p / r.w, 2)
+        assert r.x == (text[:-1] if text.endswith("0") else text).removesuffix("."), r
+
+
+def test_one_parse(spark, tmp_path):
+    """The parser runs once for a check, however often the check reads its rows."""
+    df = spark.createDataFrame([("p", "src/a.js", "js", "import assert from 'assert';\ntest('x', () => { assert(1); });")], "project string, rel_path string, ext string, content string")
+    rows_ = source.parsed(df)
+    plan = source.test_assertions(rows_)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan and source.test_assertions(rows_).count() == 0
+    rows_.unpersist()

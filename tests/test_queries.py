@@ -26,7 +26,7 @@ def test_query(spark, duck, name):
 
 
 def test_coverage_of_all_orders(spark, duck):
-    got = tabular.QUERIES["coverage_all_documents"](spark, SF)
+    got = tabular.QUERIES["coverage_documents"](spark, SF)
     orders, items = duck.sql("SELECT count(DISTINCT l_orderkey), count(*) FROM lineitem").fetchall()[0]
     assert (got.select("rel_path").distinct().count(), got.count()) == (orders, items)
 
