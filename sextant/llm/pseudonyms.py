@@ -4,20 +4,23 @@ One pattern finds candidates; each is validated by its kind, and what validates
 keyed Feistel network, so that equal values stay equal in all documents and nothing else about the text changes.
 
 A value is a row of symbols, each with its own radix; separators have radix 1. Even and odd places are the two halves:
-a round adds to every symbol of one half, modulo its radix, a hash of the other half. That is a bijection for any mix
-of radices, and subtracting in reverse order is its inverse.
+a round adds to every symbol of one half, modulo its radix, a number from the other half. That is a bijection for any mix
+of radices, and subtracting in reverse order is its inverse. The numbers are SHA-256 of the symbol's place and of the
+round's digest, which is SHA-256 of the key, the kind, the round and the other half: without the key nothing can be undone,
+and with it everything. The key stands in the query's plan; keep both from those who may not see the values.
 
 Kinds and what their formats keep:
-- card numbers (13-19 digits, Luhn): length and separators; the last digit is the new check digit. In a run of groups of
-  digits, such as a number and its security code, the first and longest row of groups that validates is one.
+- card numbers (13-19 digits, an issuer's prefix and length, Luhn): length, separators and the first four digits, which name
+  the issuer; the last digit is the new check digit. In a run of groups of digits, such as a number and its security code,
+  the first and longest row of groups that validates is one.
 - phone numbers (North American): layout; area and exchange codes stay in the range they are in.
 - addresses of hosts (IPv4, octets to 255): the number of digits of each octet.
 - social security numbers (assigned ranges): layout and ranges.
 - dates (year-month-day, or day and month of two digits and year, separated by / or .), from the year 400 on: layout and the cycle of
   400 years, inside which days are permuted. What is a date only with the month first stays so.
 - bank accounts (IBAN, modulo 97): country, letters and digits; with new check digits.
-- mail addresses: domain, and the kind of each character before it.
-- access keys and values after password, token, secret or key: prefix, length and alphabet.
+- mail addresses: the domain's last label, and the kind of each character before it.
+- access keys and values after password, token, secret or key: prefix, length, alphabet and punctuation.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ WALK = 64
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9])(?i:pass(?:word|wd)|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,}+"
+SECRET = r"(?<![A-Za-z0-9])(?i:pass(?:word|wd)|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[\w./+=-]{0,7}[A-Za-z0-9])[A-Za-z0-9_./+=-]{8,}+"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}([/.])\d{2}\1\d{4})(?!\d)"
 _DAY = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"  # DATE without its group
@@ -41,6 +44,11 @@ HOST = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 PHONE = r"(?<![\d(])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?!\d)"
 # a run goes on to where another kind begins; possessive, as Java then loops where it would recurse
 CARD = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{MAIL}|{SOCIAL}|{_DAY}|{HOST}|{PHONE})\d++)*+"
+# Prefixes and lengths of the issuers' numbers, as published.
+ISSUED = (
+    r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11,16}|35(?:2[89]|[3-8]\d)\d{12,15}"
+    r"|(?:6011|64[4-9]\d|65\d\d|62\d\d)\d{12,15}|(?:50[0-9]{2}|5[6-8]\d\d|6304|6759|676[1-3])\d{9,15})$"
+)
 ANY = "|".join((MAIL, IBAN, ACCESS, SECRET, SOCIAL, DATE, HOST, PHONE, CARD))
 
 
@@ -57,11 +65,13 @@ def _network(symbols: str, kind: str, key: str, back: bool) -> str:
     """The Feistel network on an array of (r radix, d digit, a alphabet)."""
     rounds = f"sequence({ROUNDS}, 1, -1)" if back else f"sequence(1, {ROUNDS})"
     other = "concat_ws(',', transform(filter(s, (y, k) -> (k + i) % 2 = 0), y -> cast(y.d as string)))"
-    shift = f"pmod(xxhash64({_text(key)}, '{kind}', i, j, h), x.r)"
+    # 60 bits of a digest: for radices to 9999 the bias is nothing
+    shift = "cast(conv(substring(sha2(concat(h, cast(j as string)), 256), 1, 15), 16, 10) as bigint) % x.r"
     moved = f"(x.d {'-' if back else '+'} {shift})"
     turn = f"transform(s, (x, j) -> if((j + i) % 2 = 0, x, named_struct('r', x.r, 'd', pmod({moved}, x.r), 'a', x.a)))"
-    # the other half's hash is taken once a round: a one-element transform serves as a binding
-    return f"aggregate({rounds}, {symbols}, (s, i) -> transform(array({other}), h -> {turn})[0])"
+    digest = f"sha2(concat({_text(key + ':' + kind + ':')}, cast(i as string), ':', {other}), 256)"
+    # the other half's digest is taken once a round: a one-element transform serves as a binding
+    return f"aggregate({rounds}, {symbols}, (s, i) -> transform(array({digest}), h -> {turn})[0])"
 
 
 def _symbol(alphabet: str, c: str = "c") -> str:
@@ -106,7 +116,8 @@ def _fields(fields: list[tuple[str, str]], out: str, kind: str, key: str, back:
 
 
 def _card(key: str, back: bool) -> str:
-    symbol = f"case when c in (' ', '-') or q = length(m) - 1 then {_FIXED} else {_symbol(DIGITS)} end"
+    nth = "length(regexp_replace(substring(m, 1, q + 1), '[^0-9]', ''))"  # of the digits, from 1
+    symbol = f"case when c in (' ', '-') or q = length(m) - 1 or {nth} <= 4 then {_FIXED} else {_symbol(DIGITS)} end"
     new = _chars("m", symbol, "card", key, back)
     body = "substring(w, 1, length(w) - 1)"
     check = f"pmod(-({_luhn(f'''concat(regexp_replace({body}, '[ -]', ''), '0')''')}), 10)"
@@ -114,7 +125,7 @@ def _card(key: str, back: bool) -> str:
     # groups keep the separator behind them; from each on, the longest row of groups that validates is a card
     groups = "regexp_extract_all(run, '[0-9]+[ -]?', 0)"
     text = "array_join(slice(g, {i}, {k}), '')"
-    valid = f"transform(array(regexp_replace({text.format(i='i', k='k')}, '[ -]', '')), d -> length(d) between 13 and 19 and {_luhn('d')} % 10 = 0)[0]"
+    valid = f"transform(array(regexp_replace({text.format(i='i', k='k')}, '[ -]', '')), d -> d rlike {_text(ISSUED)} and {_luhn('d')} % 10 = 0)[0]"
     longest = f"coalesce(get(filter(sequence(least(19, size(g) - i + 1), 1, -1), k -> {valid}), 0), 0)"
     step = f"if(i < a.next, a, transform(array({longest}), k -> if(k = 0, a, named_struct('next', i + k, 'spans', concat(a.spans, array(named_struct('i', i, 'k', k, 'after', a.next))))))[0])"
     spans = f"aggregate(sequence(1, size(g)), named_struct('next', 1, 'spans', cast(array() as array<struct<i: int, k: int, after: int>>)), (a, i) -> {step})"
@@ -178,7 +189,7 @@ def _iban(key: str, back: bool) -> str:
 
 
 def _secret(key: str, back: bool) -> str:
-    value = "regexp_extract(m, '[A-Za-z0-9]+$', 0)"
+    value = "regexp_extract(m, '[=:][^A-Za-z0-9_./+=-]*(.*)$', 1)"  # behind the first sign after the keyword
     forms = (("v rlike '^[0-9a-f]+$'", _symbol("0123456789abcdef"), "hex"), ("v rlike '^[0-9A-F]+$'", _symbol("0123456789ABCDEF"), "Hex"), ("true", _by_class(), "word"))
     new = " ".join(["case", *(f"when {test} then {_chars('v', symbol, kind, key, back)}" for test, symbol, kind in forms), "end"])
     return f"transform(array({value}), v -> concat(substring(m, 1, length(m) - length(v)), {new}))[0]"
@@ -186,18 +197,21 @@ def _secret(key: str, back: bool) -> str:
 
 def pseudonym(key: str, back: bool = False) -> str:
     """SQL for the pseudonym of m, one match of ANY; back: the value of a pseudonym. What doesn't validate stays."""
-    mail = f"concat({_chars('''substring_index(m, '@', 1)''', _by_class(), 'mail', key, back)}, '@', substring_index(m, '@', -1))"
+    name, domain, last = "substring_index(m, '@', 1)", "regexp_extract(m, '@(.*)[.]', 1)", "substring_index(m, '.', -1)"
+    mail = f"concat({_chars(name, _by_class(), 'mail', key, back)}, '@', {_chars(domain, _by_class(), 'domain', key, back)}, '.', {last})"
     access = f"concat('AKIA', {_chars('substring(m, 5)', _symbol(UPPER + DIGITS), 'access', key, back)})"
     kinds = ((MAIL, mail), (IBAN, _iban(key, back)), (ACCESS, access), (SECRET, _secret(key, back)), (SOCIAL, _social(key, back)), (DATE, _date(key, back)), (HOST, _host(key, back)), (PHONE, _phone(key, back)))
     return " ".join(["case", *(f"when {_whole(p)} then {x}" for p, x in kinds), f"else {_card(key, back)} end"])
 
 
-def pseudonymised(docs: DataFrame, key: str = "sextant", back: bool = False, text: str = "text") -> DataFrame:
-    """docs with its text column replaced, other columns untouched; back restores the text.
+def pseudonymised(docs: DataFrame, key: str, back: bool = False, text: str = "text") -> DataFrame:
+    """docs with its text column replaced, other columns untouched, under a key that the caller keeps secret; back restores
+    the text.
 
     A card beside other groups of digits is not always restored: its pseudonym may validate together with them.
     Null stays null and empty stays empty; rows don't affect each other. What the pattern finds but its kind doesn't
-    validate is left as it is, as is everything else in the text.
+    validate is left as it is, as is everything else in the text. Where several kinds could begin, the first of the list
+    above is taken. A text of any length is taken whole, in time in proportion to it. An empty table gives an empty one.
     """
     # the pattern is applied twice: once to take the values, once to take what is between them
     column = f"`{text}`"
@@ -211,6 +225,6 @@ def pseudonymised(docs: DataFrame, key: str = "sextant", back: bool = False, tex
     return docs.withColumn(name, found).withColumn(text, F.when(F.size(name) > 0, swapped).otherwise(F.col(column))).drop(name)
 
 
-def pseudonym_of(column: str, key: str = "sextant", back: bool = False) -> Column:
+def pseudonym_of(column: str, key: str, back: bool = False) -> Column:
     """The pseudonym of a column, given by its SQL, that holds one value each."""
     return F.expr(f"transform(array({column}), m -> {pseudonym(key, back)})[0]")
