@@ -24,6 +24,12 @@ def _at_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's folder for intermediate rows, inside spark.checkpoint.dir; where that is unset, inside the warehouse,
     which driver and executors share. It goes when the driver ends."""

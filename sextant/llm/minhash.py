@@ -32,7 +32,7 @@ from .common import components, cut, join_hot, pieces
 
 U = np.uint64
 #: Rows of a band block and shingles of a verification block: what one task holds of a bucket or cluster at once.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 19
 #: Pivots of a group of several blocks, about.
 PIVOTS = 16
 
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.75, b
     soft = components(_linked(buckets, _Soft, *limits))
 
     cluster = cut(soft.select("v", F.col("label").alias("grp")).join(classes.select("v", "doc_id", "n_shingles", "sig"), "v"))
-    weight = cluster.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("members"))
+    weight = cluster.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"), F.count("*").alias("members"))
     placed = cluster.join(weight, "grp").select("grp", "doc_id", "v", "sig", F.expr("cast(pmod(xxhash64(v, 7), blocks) as int)").alias("block"), "blocks", "members")
     sets = docs.join(placed, "doc_id").mapInArrow(_sets(words), "grp long, v long, sig binary, block int, blocks int, members long, hashes binary")
     links = _linked(sets, _Exact, *limits)
