@@ -13,13 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import WORD, shared_folder, table
+from sextant.llm.common import WORD, drop, shared_folder, table, written
 from sextant.llm.discriminant import accepted
 from sextant.llm.minhash import near_duplicates
 from sextant.llm.mixing import mixed_spans
 from sextant.llm.packing import packed
 from sextant.llm.pseudonyms import pseudonymised
-from sextant.llm.registry import vocabulary_path
+from sextant.llm.registry import pseudonym_key, vocabulary_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL has neither the classifier's fit nor pseudonyms nor token ids; the stages are tested against plain Python.
@@ -32,25 +32,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; of rows with one doc_id a single one."""
+    """Of each group of near-duplicates the document with the smallest doc_id; its rows of equal text are one, those of other
+    texts stay."""
     docs = docs.select(*COLUMNS)
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    one = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
     alone = docs.join(kept, "doc_id").withColumn("_nth", one).filter("_nth = 1").select(*COLUMNS)
     return alone.union(docs.filter("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with pseudonyms in their texts and n_chars taken anew."""
-    return pseudonymised(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pseudonymised(docs.select(*COLUMNS), pseudonym_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words of each document that lie in the blocks the mix draws, as often as it draws them: a row for each stretch
     of adjoining blocks, which is the text itself where all of it is drawn. Each row has a draw of its own."""
-    where = f"{shared_folder(spark)}/mixture-{uuid.uuid4().hex}"  # numbers must not change when rows are read again
-    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).write.parquet(where)
-    docs = spark.read.parquet(where)
+    docs = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "mixture")  # numbers must stay as they are
     mixed = docs.join(mixed_spans(docs, "_row"), "_row")
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     # a one-element transform serves as a binding: the text is split once for all of its spans
@@ -74,10 +73,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each but the last written to the shared folder and read again; what a stage has taken in is
+    deleted when it has been written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
-        docs = spark.read.parquet(f"{where}/{name}")
+        if last is not None:
+            drop(spark, last)
+        last = f"{where}/{name}"
+        docs = spark.read.parquet(last)
     return STAGES[-1][1](spark, docs, sf_dir)
