@@ -183,8 +183,10 @@ def packed(docs: DataFrame, path: str, window: int = 2048, separator: int = 1) -
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece of docs (doc_id, text).
 
     path is the vocabulary file; each document's ids end in the separator. Null and empty texts are the separator alone.
-    Rows are documents each, whatever their doc_id, null or repeated. An empty table gives an empty result. Sequences
-    are numbered from 0; all but those of the last patterns are full.
+    Rows are documents each, whatever their doc_id, null or repeated; pieces of equal length change places freely, and are
+    taken in the order of their partitions. A text of any length is encoded whole and takes about 60 bytes of a task's memory
+    for each of its own. Other columns are ignored, whatever their names. An empty table gives an empty result. Sequences are
+    numbered from 0; all but those of the last patterns are full.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     pieces = cut(docs.mapInArrow(_pieces(path, window, separator), _PIECE))
