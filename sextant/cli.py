@@ -137,10 +137,13 @@ def run_profile(spark: SparkSession, root: str, args: list[str]) -> int:
     inventory = source.methods(rows).select(F.col("rel_path").alias("file"), F.col("name").alias("method"), F.col("start_line").alias("line"), "method_id")
     if "--name" in o:
         inventory = inventory.filter(F.col("method").contains(o["--name"][-1]))
-    got = profile.attributed(found, inventory, ["file", "method"]).orderBy("file", "line", "method_id").collect()
-    print(render.profile_report(got, top, limit), end="")
-    render.write_profile(got, os.path.join(root, "profile-reports"), datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z"))
-    return 2 if limit is not None and any(r.total_micros / 1000 > limit for r in got) else 0
+    got = profile.attributed(found, inventory, ["file", "method"]).persist()
+    totals = profile.over_threshold(got, math.inf if limit is None else limit).first()
+    hottest = lambda n: profile.hottest(got, n, "file", "line", "method_id")
+    print(render.profile_report(hottest(top).toLocalIterator(), totals, limit), end="")
+    stamp = datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+    render.write_profile(lambda: hottest(0).toLocalIterator(), totals, os.path.join(root, "profile-reports"), stamp)
+    return 2 if totals.over_threshold else 0
 
 
 def findings(spark: SparkSession, gate: str, files: DataFrame, everything: DataFrame, rules: list[tuple[str, str, str | None]]) -> tuple[DataFrame, DataFrame, DataFrame | None]:

@@ -32,21 +32,6 @@ def naming(files: DataFrame, path: str = "rel_path") -> DataFrame:
     return files.withColumn("message", message).filter("message is not null")
 
 
-def containment_depth(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Each span with depth: one more than the spans of its key that strictly contain it. Equal spans don't contain each
-    other, so they are counted once as spans and often as containers."""
-    s = spans.groupBy(*keys, start, end).agg(F.count("*").alias("times"))
-    outer = s.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col("times").alias("_n"))
-    wider = (F.col("_s") <= F.col(start)) & (F.col("_e") >= F.col(end)) & ((F.col("_s") < F.col(start)) | (F.col("_e") > F.col(end)))
-    n = s.join(outer, keys).filter(wider).groupBy(*keys, start, end).agg(F.sum("_n").alias("_n"))
-    return s.join(n, [*keys, start, end], "left").withColumn("depth", (F.coalesce("_n", F.lit(0)) + 1).cast("long")).drop("_n")
-
-
-def deep(depths: DataFrame, by: list[str], most: int = MAX_NESTING) -> DataFrame:
-    """Groups whose largest depth is over the limit."""
-    return depths.groupBy(*by).agg(F.max("depth").alias("max_depth")).filter(F.col("max_depth") > most)
-
-
 def nesting(methods: DataFrame, most: int = MAX_NESTING) -> DataFrame:
     """Methods nested deeper than the limit."""
     text = F.concat("name", F.lit(" nesting="), F.col("nesting").cast("string"), F.lit(f" > max {most}"))

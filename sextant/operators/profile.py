@@ -51,4 +51,4 @@ def hottest(rows: DataFrame, top: int, *ties: str) -> DataFrame:
 
 def over_threshold(rows: DataFrame, milliseconds: float) -> DataFrame:
     """One row: functions, their total, and how many took strictly longer."""
-    return rows.agg(F.count("*").alias("methods"), F.coalesce(F.sum("total_micros"), F.lit(0)).alias("total_micros"), F.count_if(F.col("total_micros") / 1000 > milliseconds).alias("over_threshold"))
+    return rows.agg(F.count("*").alias("methods"), F.coalesce(F.sum("total_micros"), F.lit(0)).alias("total_micros"), F.count_if(F.col("total_micros") / 1000 > F.lit(milliseconds)).alias("over_threshold"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension
-from ..operators import crap, gates, source
+from ..operators import crap, gates, profile, source
 from .. import cli, render
 from ..sources import listing, timings
 
@@ -364,7 +364,7 @@ _PROFILE_HEAD = " TOTAL(ms)      %  CALLS   MEAN(µs)   MAX(µs)  @60fps(ms) MET
 def code_profile(spark: SparkSession) -> DataFrame:
     """The table of the two hottest functions, a mean below the noise floor marked, and the threshold's line."""
     t = spark.createDataFrame([("src/a.js", "fast", 1, 10, 100, 20), ("src/b.js", "slow", 5, 2, 900, 500), ("src/c.js", "rare", 9, 1, 15, 15)], "file string, method string, line int, calls long, total_micros long, max_micros long")
-    return _lines(spark, render.profile_report(t.collect(), 2, 0.5))
+    return _lines(spark, render.profile_report(profile.hottest(t, 2, "file").collect(), profile.over_threshold(t, 0.5).first(), 0.5))
 
 
 @golden("n, source, forbidden, note", "INT, VARCHAR, VARCHAR, VARCHAR", [(1, "a/**", "b/**", "first"), (2, "c", "d", None)])

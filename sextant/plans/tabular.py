@@ -177,14 +177,13 @@ def unused_code_count1(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INT) % 5 AS b FROM lineitem),
-n AS (SELECT l_orderkey, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INT) % 5 AS b FROM lineitem),
-d AS (SELECT s.l_orderkey, s.a, s.b, 1 + count(n.l_orderkey) AS depth FROM s LEFT JOIN n ON n.l_orderkey = s.l_orderkey AND n.a <= s.a AND n.b >= s.b AND (n.a < s.a OR n.b > s.b) GROUP BY 1, 2, 3)
-SELECT l_orderkey, max(depth) AS max_depth FROM d GROUP BY 1 HAVING max(depth) > 5
+WITH n AS (SELECT l_orderkey, max(l_linenumber) AS nesting FROM lineitem GROUP BY 1)
+SELECT l_orderkey, 'order ' || l_orderkey || ' nesting=' || nesting || ' > max 5' AS message FROM n WHERE nesting > 5
 """)
 def nesting_max_depth(spark: SparkSession, d: str) -> DataFrame:
-    spans = read(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber AS a", "l_linenumber + CAST(l_quantity AS INT) % 5 AS b")
-    return gates.deep(gates.containment_depth(spans, ["l_orderkey"], "a", "b"), ["l_orderkey"])
+    """An order is a function as deep as its last line's number."""
+    depth = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("nesting"))
+    return gates.nesting(depth.withColumn("name", F.concat(F.lit("order "), "l_orderkey"))).select("l_orderkey", "message")
 
 
 @query("SELECT o_orderkey, CAST(0 AS BIGINT) AS assertions FROM orders ANTI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey")

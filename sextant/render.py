@@ -6,7 +6,8 @@ Formatting happens here alone; queries never round.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import textwrap
+from collections.abc import Callable, Iterable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 
@@ -50,34 +51,40 @@ def milliseconds(micros: float) -> str:
     return to_fixed(micros / 1000, 2)
 
 
-def profile_report(rows: list[Row], top: int = 20, threshold_ms: float | None = None) -> str:
-    """The table of rows (file, method, line, calls, total_micros, max_micros), hottest first; top 0 shows all."""
-    total = sum(r.total_micros for r in rows)
-    rows = sorted(rows, key=lambda r: -r.total_micros)
+def _profile_lines(rows: Iterable[Row], totals: Row) -> Iterator[str]:
     head = " ".join((left("TOTAL(ms)", 10), left("%", 6), left("CALLS", 6), left("MEAN(µs)", 10), left("MAX(µs)", 9), left("@60fps(ms)", 11), right("METHOD", 30), "FILE:LINE"))
-    lines = [f"Profile Report ({len(rows)} methods, total {milliseconds(total)}ms)", head, "-" * len(head)]
-    for r in rows[:top] if top > 0 else rows:
+    yield from (f"Profile Report ({totals.methods} methods, total {milliseconds(totals.total_micros)}ms)", head, "-" * len(head))
+    for r in rows:
         mean = r.total_micros / r.calls if r.calls > 0 else 0.0
-        share = to_fixed(r.total_micros / total * 100 if total > 0 else 0.0, 1) + "%"
+        share = to_fixed(r.total_micros / totals.total_micros * 100 if totals.total_micros > 0 else 0.0, 1) + "%"
         noisy = ("~" if mean < NOISE_FLOOR else "") + to_fixed(mean, 1)
-        lines.append(" ".join((left(milliseconds(r.total_micros), 10), left(share, 6), left(r.calls, 6), left(noisy, 10), left(r.max_micros, 9), left(milliseconds(mean * 60), 11), right(r.method, 30), f"{r.file}:{r.line}")))
-    lines.append("Full report: profile-reports/ (txt + json)")
+        yield " ".join((left(milliseconds(r.total_micros), 10), left(share, 6), left(r.calls, 6), left(noisy, 10), left(r.max_micros, 9), left(milliseconds(mean * 60), 11), right(r.method, 30), f"{r.file}:{r.line}"))
+    yield "Full report: profile-reports/ (txt + json)"
+
+
+def profile_report(rows: Iterable[Row], totals: Row, threshold_ms: float | None = None) -> str:
+    """The table of rows (file, method, line, calls, total_micros, max_micros) as they come, and of all rows the totals
+    (methods, total_micros, over_threshold)."""
+    lines = list(_profile_lines(rows, totals))
     if threshold_ms is not None:
-        over = sum(r.total_micros / 1000 > threshold_ms for r in rows)
-        lines.append(f"Threshold: {to_fixed(threshold_ms, 2)}ms — " + (f"{over} method(s) exceed" if over else "all methods OK"))
+        lines.append(f"Threshold: {to_fixed(threshold_ms, 2)}ms — " + (f"{totals.over_threshold} method(s) exceed" if totals.over_threshold else "all methods OK"))
     return "\n".join(lines) + "\n"
 
 
-def write_profile(rows: list[Row], folder: str, stamp: str) -> None:
-    """The full report as text and JSON."""
+def write_profile(rows: Callable[[], Iterable[Row]], totals: Row, folder: str, stamp: str) -> None:
+    """The full report as text and JSON, written row by row."""
     where = Path(folder)
     where.mkdir(parents=True, exist_ok=True)
     name = f"profile-{stamp.replace(':', '-').replace('.', '-')}"
-    (where / f"{name}.txt").write_text(profile_report(rows, 0) + "\n", encoding="utf-8")
+    with (where / f"{name}.txt").open("w", encoding="utf-8") as f:
+        f.writelines(f"{line}\n" for line in _profile_lines(rows(), totals))
+        f.write("\n")
     keys = {"method": "method", "file": "file", "line": "line", "calls": "calls", "totalMicros": "total_micros", "minMicros": "min_micros", "maxMicros": "max_micros"}
-    methods = [{k: r[c] for k, c in keys.items()} for r in sorted(rows, key=lambda r: -r.total_micros)]
-    text = json.dumps({"generatedAt": stamp, "totalMicros": sum(r.total_micros for r in rows), "methods": methods}, indent=2, ensure_ascii=False)
-    (where / f"{name}.json").write_text(text + "\n", encoding="utf-8")
+    with (where / f"{name}.json").open("w", encoding="utf-8") as f:
+        f.write(json.dumps({"generatedAt": stamp, "totalMicros": totals.total_micros, "methods": []}, indent=2, ensure_ascii=False).removesuffix("]\n}"))
+        for k, r in enumerate(rows()):
+            f.write(("," if k else "") + "\n" + textwrap.indent(json.dumps({n: r[c] for n, c in keys.items()}, indent=2, ensure_ascii=False), "    "))
+        f.write("\n  ]\n}\n" if totals.methods else "]\n}\n")
 
 
 #: The last line of each check, without and with violations.

@@ -63,9 +63,20 @@ def test_profile(spark):
     top = profile.hottest(rows, 1, "file", "line").collect()
     assert [(r.method, r.pct, r.noisy) for r in top] == [("slow", 90.0, False)]
     assert profile.over_threshold(rows, 0.5).first().over_threshold == 1
-    text = render.profile_report(rows.collect(), 1, 0.5)
+    text = render.profile_report(top, profile.over_threshold(rows, 0.5).first(), 0.5)
     assert "slow" in text and "fast" not in text and "90.0%" in text and "total 1.00ms" in text and "1 method(s) exceed" in text
-    assert "~10.0" in render.profile_report(rows.collect())
+    assert "~10.0" in render.profile_report(rows.collect(), profile.over_threshold(rows, 0.5).first())
+
+
+def test_profile_files(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([("f.js", "é", 3, 1, 9, 9, 9), ("f.js", "b", 4, 2, 4, 1, 3)], "file string, method string, line int, calls long, total_micros long, min_micros long, max_micros long")
+    for k, df in enumerate((rows, rows.limit(0))):
+        render.write_profile(df.collect, profile.over_threshold(df, 1.0).first(), str(tmp_path), f"stamp{k}")
+        got = json.loads((tmp_path / f"profile-stamp{k}.json").read_text())
+        assert [m["method"] for m in got["methods"]] == ["é", "b"][: 2 * (k == 0)] and got["totalMicros"] == 13 * (k == 0) and got["generatedAt"] == f"stamp{k}"
+        assert (tmp_path / f"profile-stamp{k}.json").read_text() == json.dumps(got, indent=2, ensure_ascii=False) + "\n"
 
 
 @settings(max_examples=20, deadline=None)
