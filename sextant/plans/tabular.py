@@ -8,6 +8,7 @@ plain analogues, which call no operator: that of loose files runs in golden, cov
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import crap, gates, profile
 from ..sources import coverage, gitstatus
+from ..streaming import timings as stream
 from . import golden
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +84,22 @@ def timing_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return _timings(spark, d)
 
 
+@query(_TIMINGS_SQL + "SELECT event_type AS file, CAST(user_id AS VARCHAR) AS method, calls, total_micros, min_micros, max_micros FROM t")
+def timing_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The running timings after all events have come in as files of a stream, in several batches."""
+    where, name = f"{spark.conf.get('spark.sql.warehouse.dir')}/_stream-{uuid.uuid4().hex}", f"timings_{uuid.uuid4().hex}"
+    e = read(spark, d, "events").select(F.col("event_type").alias("file"), F.col("user_id").cast("string").alias("method"), profile.micros(F.col("value")).alias("micros"))
+    e.repartition(3).write.json(f"{where}/in")
+    q = stream.start(stream.events(spark, f"{where}/in", 1), name, f"{where}/checkpoint")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    return spark.table(name)
+
+
 @query("WITH e AS (SELECT event_type, user_id, user_id % 4 AS process, CAST(greatest(0, floor(value * 1000 + 0.5e0)) AS BIGINT) AS micros FROM events) SELECT event_type, count(*) AS calls, CAST(sum(micros) AS BIGINT) AS total_micros, min(micros) AS min_micros, max(micros) AS max_micros FROM e GROUP BY 1")
 def timing_merge(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("event_type", (F.col("user_id") % 4).alias("process"), profile.micros(F.col("value")).alias("micros"))

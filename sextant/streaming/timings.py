@@ -9,9 +9,9 @@ from ..operators.profile import timings
 from ..sources.timings import EVENT
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of the JSON-lines files that arrive in a folder; each is read once."""
-    return spark.readStream.schema(EVENT).json(folder)
+def events(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
+    """A stream of the JSON-lines files that arrive in a folder, so many to a batch; each is read once."""
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files).json(folder)
 
 
 def totals(stream: DataFrame) -> DataFrame:
