@@ -23,6 +23,8 @@ from .common import written
 
 U = np.uint64
 BATCH_BYTES, PART_ENTRIES = 8 << 20, 2_000_000
+#: Most documents of a batch, which empty ones would otherwise fill without end.
+BATCH_ROWS = 1 << 20
 _BATCH = "batch long, words long, docs binary"
 
 
@@ -66,7 +68,7 @@ def parts(hashes: np.ndarray, count: int) -> np.ndarray:
 
 def _batches(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, nth, held, size = TaskContext.get().partitionId() << 20, 0, [], 0
+        first, nth, held, size, rows = TaskContext.get().partitionId() << 20, 0, [], 0, 0
 
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
@@ -80,11 +82,11 @@ def _batches(most: int):
             for i, j in T.slices(batch.column(1)):
                 part = batch.slice(i, j - i)
                 now = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
-                if held and size + now > most:
+                if held and (size + now > most or rows + len(part) > BATCH_ROWS):
                     yield flush()
-                    nth, held, size = nth + 1, [], 0
+                    nth, held, size, rows = nth + 1, [], 0, 0
                 held.append(part)
-                size += now
+                size, rows = size + now, rows + len(part)
         if held:
             yield flush()
 
