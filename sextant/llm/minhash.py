@@ -274,9 +274,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.75, b
     real = features.filter("v is not null and doc_id is not null")
     classes = cut(real.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
 
-    keys = classes.select(F.explode("bands").alias("grp"), "v", "sig")
+    keys = classes.select(F.explode("bands").alias("grp"), "v")
     shared = keys.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = keys.join(shared, "grp").withColumn("blocks", F.expr(f"cast(ceil(members / {BLOCK_ROWS}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(v), blocks) as int)"))
+    buckets = keys.join(shared, "grp").join(classes.select("v", "sig"), "v").withColumn("blocks", F.expr(f"cast(ceil(members / {BLOCK_ROWS}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(v), blocks) as int)"))
     soft = components(_linked(buckets, _Soft, *limits))
 
     cluster = cut(soft.select("v", F.col("label").alias("grp")).join(classes.select("v", "doc_id", "n_shingles", "sig"), "v"))
