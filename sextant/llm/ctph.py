@@ -206,7 +206,9 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    by = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
+    # rows alike in id and text may lie in any order, so where they are read from parts them: many share no range
+    docs = docs.withColumn("at", F.monotonically_increasing_id())
+    by = [F.asc_nulls_last("doc_id"), F.xxhash64("text"), F.col("at")]
     schema = f"{_RESULT}, part long, place string, text string"
     runs = cut(docs.repartitionByRange(pieces(spark), *by).sortWithinPartitions(*by).select("doc_id", "text").mapInArrow(_sorted_run, schema))
     parts = sorted(r["part"] for r in runs.filter("place = 'first'").select("part").collect())  # a number for each range
