@@ -6,8 +6,11 @@ They run the parser and every check for real; the driver's tables have no source
 from __future__ import annotations
 
 import atexit
+import contextlib
+import io
 import os
 import shutil
+import subprocess
 import tempfile
 from collections.abc import Callable
 from functools import reduce
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import extension
 from ..operators import crap, gates, profile, source
 from .. import cli, render
-from ..sources import listing, timings
+from ..sources import gitstatus, listing, timings
 
 CORPUS: dict[str, str] = {
     "src/mixed.js": """\
@@ -410,20 +413,83 @@ def code_gates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(out, "gate string, summary string, exit_code int")
 
 
+def _folder(texts: dict[str, str | bytes]) -> str:
+    """A folder with files, which goes when the driver ends. All executors must see it: on a cluster, TMPDIR has to be shared."""
+    root = tempfile.mkdtemp(prefix="sextant-")
+    atexit.register(shutil.rmtree, root, True)
+    for p, text in texts.items():
+        full = os.path.join(root, p)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        with open(full, "wb") as f:
+            f.write(text if isinstance(text, bytes) else text.encode())
+    return root
+
+
 @golden("kind, rel_path", "VARCHAR, VARCHAR", [
     *(("all", p) for p in ("readme.md", "src/a.js", "src/a.test.js", "src/sub/b.tsx", "test/t.js")), ("gates", "src/a.js"), ("gates", "src/sub/b.tsx"), ("tests", "src/a.test.js"), ("tests", "test/t.js"),
     ("loose", "src/a.js"), ("loose", "src/a.test.js"), ("explicit", "src/a.js"), ("explicit", "src/sub/b.tsx"), ("explicit tests", "src/a.js"), ("explicit tests", "src/a.test.js"), ("explicit tests", "src/sub/b.tsx"),
 ])
 def code_listing(spark: SparkSession) -> DataFrame:
-    """File sets of a folder that is made here, which all executors must see: on a cluster, TMPDIR has to be shared."""
-    root = tempfile.mkdtemp(prefix="sextant-")
-    atexit.register(shutil.rmtree, root, True)
-    for p in ("readme.md", "src/a.js", "src/a.test.js", "src/sub/b.tsx", "src/node_modules/x.js", "test/t.js"):
-        os.makedirs(os.path.dirname(os.path.join(root, p)) or root, exist_ok=True)
-        with open(os.path.join(root, p), "w") as f:
-            f.write("f();\n")
+    """File sets of a folder that is made here."""
+    root = _folder({p: "f();\n" for p in ("readme.md", "src/a.js", "src/a.test.js", "src/sub/b.tsx", "src/node_modules/x.js", "test/t.js")})
     every = listing.listing(spark, {"p": root})
     named = ["src", "src/a.js", "nowhere"]
     sets = {"all": every, "gates": listing.gate_files(every), "tests": listing.test_files(every), "loose": listing.loose(every), "explicit": listing.explicit(spark, "p", root, named), "explicit tests": listing.explicit(spark, "p", root, named, tests=True)}
     parts = [df.select(F.lit(k).alias("kind"), "rel_path") for k, df in sets.items()]
     return reduce(DataFrame.unionAll, parts)
+
+
+@golden("rel_path, ext, content", "VARCHAR, VARCHAR, VARCHAR", [("src/a.js", "js", "é();\n"), ("src/b.ts", "ts", "a\ufffdb"), ("src/c.js", "js", None), ("src/d.js", "js", "")])
+def code_read(spark: SparkSession) -> DataFrame:
+    """Contents of listed files: bytes that aren't UTF-8 are replaced, a file that went away is null."""
+    root = _folder({"src/a.js": "é();\n", "src/b.ts": b"a\xffb", "src/c.js": "gone", "src/d.js": ""})
+    found = listing.gate_files(listing.listing(spark, {"p": root}))
+    files_ = spark.createDataFrame(found.collect(), found.schema)  # listed before one goes
+    os.remove(os.path.join(root, "src/c.js"))
+    return listing.read(files_)
+
+
+@golden("kind, rel_path", "VARCHAR, VARCHAR", [("changed", "src/a.js"), ("changed", "src/new.js"), ("changed", "src/staged.js"), ("staged", "src/staged.js"), ("staged", "tool.mjs")])
+def code_git(spark: SparkSession) -> DataFrame:
+    """Changed sources and staged scripts of a working tree that is made here."""
+    root = _folder({"src/a.js": "1;\n", "src/same.js": "2;\n", "src/gone.js": "3;\n"})
+    git = lambda *a: subprocess.run(["git", "-C", root, *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "-A")
+    git("-c", "user.name=t", "-c", "user.email=t@example.com", "-c", "commit.gpgsign=false", "commit", "-qm", "x")
+    for p in ("src/a.js", "src/new.js", "src/staged.js", "tool.mjs", "src/new.test.js", "notes.txt"):
+        with open(os.path.join(root, p), "w") as f:
+            f.write("4;\n")
+    os.remove(os.path.join(root, "src/gone.js"))
+    git("add", "src/staged.js", "tool.mjs")
+    changed = gitstatus.changed(gitstatus.read(spark, root)).select(F.lit("changed").alias("kind"), "rel_path")
+    return changed.union(gitstatus.staged(spark, root).select(F.lit("staged").alias("kind"), "rel_path"))
+
+
+_COMMANDS: list[tuple[str, int, str]] = [
+    ("skill", 0, "To install: mkdir -p .agents/skills/sextant && python -m sextant skill > .agents/skills/sextant/SKILL.md"),
+    ("", 2, "Max CRAP: 30.0 (threshold 8.0) — FAILED"), ("--threshold=30", 0, "Max CRAP: 30.0 (threshold 30.0) — passed"), ("--threshold x", 1, ""), ("--bogus", 1, ""), ("src/none.js", 0, "No source files found."),
+    ("profile", 1, ""), ("profile --timings t.json --threshold 1", 2, "Threshold: 1.00ms — 1 method(s) exceed"), ("profile --timings t.json --top 1", 0, "Full report: profile-reports/ (txt + json)"),
+    ("file-naming", 2, "1/2 files with mechanical names"), ("file-naming src/sub", 0, "1 files have domain-meaningful names"), ("nesting", 0, "1 methods within nesting 5"), ("class-size", 0, "0 classes within 25 methods/WMC 80"),
+    ("weight-of-class", 0, "0 classes within weight 0.33"), ("unused-code", 0, "0 declarations all referenced"), ("unused-code src", 0, "unused-code needs the whole project: skipped for a selection of paths."),
+    ("unused-files", 2, "2/2 files never imported"), ("banned-imports", 0, "No rules given."), ("banned-imports --from src/** --forbid lodash", 0, "2 files comply with 1 rule(s)"), ("banned-imports --from a", 1, ""),
+    ("magic-constants", 0, "2 files free of magic constants"), ("test-assertions", 2, "1/1 tests without assertions"), ("test-assertions src/sub", 0, "0 tests assert their expectations"), ("test-assertions src/a.test.js", 2, "1/1 tests without assertions"),
+    ("folder-structure", 2, "1 directory(ies) with loose-file sprawl"), ("folder-structure x", 1, ""),
+]
+
+
+@golden("command, code, last_line", "VARCHAR, INT, VARCHAR", _COMMANDS)
+def code_commands(spark: SparkSession) -> DataFrame:
+    """Exit code and last line of the command line's commands in a project that is made here."""
+    statement = '{"start": {"line": 1, "column": 0}, "end": {"line": 1, "column": 9}}'
+    root = _folder({"src/utils.js": "export const u = 1;\n", "src/sub/big.js": "export function f(a) { if (a) { if (a) { if (a) { if (a) {} } } } }\n", "src/a.test.js": "test('x', () => {});\n", "t.json": '{"src/sub/big.js|f": {"calls": 1, "totalMicros": 1500, "minMicros": 1, "maxMicros": 2}}'})
+    os.makedirs(os.path.join(root, "coverage"))
+    with open(os.path.join(root, "coverage/coverage-final.json"), "w") as f:
+        f.write(f'{{"{root}/src/sub/big.js": {{"statementMap": {{"0": {statement}}}, "s": {{"0": 0}}}}}}')
+    out = []
+    for command, _, _ in _COMMANDS:
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text), contextlib.redirect_stderr(io.StringIO()):
+            code = cli.main([a.replace("t.json", f"{root}/t.json") for a in command.split()], root, spark)
+        out.append((command, code, (text.getvalue().rstrip().splitlines() or [""])[-1]))
+    return spark.createDataFrame(out, "command string, code int, last_line string")
