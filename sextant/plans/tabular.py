@@ -191,7 +191,7 @@ def class_weight(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS name FROM documents) SELECT doc_id, name FROM t GROUP BY 1, 2 HAVING count(*) = 1")
 def unused_code_count1(spark: SparkSession, d: str) -> DataFrame:
     tokens = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("name"))
-    return gates.unreferenced(tokens, tokens, ["doc_id", "name"])
+    return gates.unreferenced(tokens.distinct(), tokens, ["doc_id", "name"])
 
 
 @query("""
