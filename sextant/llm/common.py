@@ -102,6 +102,8 @@ def components(edges: DataFrame) -> DataFrame:
     than a partition should be, and is cut by a checkpoint. Nothing is gathered but whether a label changed.
     """
     e = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    if e.isEmpty():
+        return e.select(F.col("a").alias("v"), F.col("b").alias("label"))
     labels = cut(e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
     while True:
         near = e.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))

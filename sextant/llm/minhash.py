@@ -244,6 +244,8 @@ def _linked(rows: DataFrame, kind: type[_Soft], *limits) -> DataFrame:
     told = cut(met.drop("members").repartition(n, "grp", "block").sortWithinPartitions("grp", "block").mapInArrow(_within(kind, *limits), _TOLD))
     edges = told.filter("a is not null").select("a", "b")
     members = told.filter("a is null").select("grp", "v", "colour")
+    if members.isEmpty():  # no group has several blocks
+        return edges
     most = members.filter("colour is not null").groupBy("grp", "colour").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("colour", "n").alias("most"))
     rest = cut(members.join(most, "grp", "left").filter("colour is null or most is null or colour <> most").select("grp", "v", "colour"))
     if rest.isEmpty():
