@@ -60,6 +60,7 @@ class _Grams(E.Documents):
 
 
 def _exploded(n: int, parts: int):
+    @T.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for batch, docs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

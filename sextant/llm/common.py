@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot if it has more than one in so many of all rows; there are fewer hot keys than this.
 HOT_SHARE = 1000
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings under which phases run.
+PHASE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,30 +46,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """While a phase is run: shuffle files go when it ends, and texts come to Python few at a time, as some are long."""
+    before = {k: spark.conf.get(k, None) for k in PHASE}
+    for k, v in PHASE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from reliable storage, so that a lost executor costs no more than a reread; the shuffle files that led
     to them are dropped at once."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # a plan made under that setting
-    finally:
-        spark.conf.set(_CLEAN, before)
+    shared_folder(df.sparkSession)
+    with _settings(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan made under the settings
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a table of their own in the shared folder, where they stay as they are however often read."""
-    spark = df.sparkSession
-    where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
+    where = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with _settings(df.sparkSession):
         df.write.parquet(where)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    return spark.read.parquet(where)
+    return df.sparkSession.read.parquet(where)
 
 
 def pieces(spark: SparkSession) -> int:

@@ -162,6 +162,7 @@ def _compared(ids: list, texts: list[str], following: list[str]) -> list[pa.Arra
     ]
 
 
+@T.frugal
 def _sorted_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results for all but the last document of the partition; that one's text and the first one's on rows of their own."""
     part = TaskContext.get().partitionId()

@@ -120,6 +120,7 @@ def _stated(batch: int, hashes: np.ndarray, parts: int, *columns: np.ndarray) ->
 
 
 def _minimizers(window: int, minimizer: int, parts: int):
+    @T.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, docs in _each(batches):
             w = _Walked(docs, window, minimizer)

@@ -83,6 +83,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 NAMES = ("symbols", "upper", "bars", "digits", "cries", "stops", "repeats", "echo", "distinct", "word_length", "word_spread", "line_repeats", "size")
 
 
+@T.frugal
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in T.slices(batch.column(1)):
@@ -182,6 +183,7 @@ def accepted(docs: DataFrame, labels: DataFrame, towards_pooled: float = 0.1, to
     model = _learnt(x, labels, towards_pooled, towards_identity)
     place = docs.columns.index("text")
 
+    @T.frugal
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in T.slices(batch.column(place)):

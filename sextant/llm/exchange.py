@@ -69,6 +69,7 @@ def parts(hashes: np.ndarray, count: int) -> np.ndarray:
 
 
 def _batches(most: int):
+    @T.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, nth, held, size, rows = TaskContext.get().partitionId() << 20, 0, [], 0, 0
 

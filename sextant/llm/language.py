@@ -102,6 +102,7 @@ def address(url: Column) -> dict[str, Column]:
 
 
 def _likelihoods(langs: list[str], table: np.ndarray):
+    @T.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in T.slices(batch.column("text")):

@@ -100,6 +100,7 @@ def _set_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _features(words: int, bands: int, rows: int, bits: int):
+    @T.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in T.slices(batch.column(1)):
@@ -176,6 +177,7 @@ def _told(edges: np.ndarray, grp: int = 0, ids: np.ndarray = (), colour: np.ndar
 def _within(kind: type[_Soft], *limits):
     """Each block with itself and with its group's pivots."""
 
+    @T.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["grp", "block"]):
             pivot = t["pivot"].to_numpy(zero_copy_only=False).astype(bool)
@@ -202,6 +204,7 @@ def _within(kind: type[_Soft], *limits):
 def _across(kind: type[_Soft], *limits):
     """A block's members with those that did not join most of the group's."""
 
+    @T.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["grp", "block", "asks"]):
             asked = ~t["query"].to_numpy(zero_copy_only=False).astype(bool)
@@ -221,6 +224,7 @@ def _across(kind: type[_Soft], *limits):
 
 
 def _sets(words: int):
+    @T.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in T.slices(batch.column("text")):

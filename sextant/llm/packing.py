@@ -34,6 +34,7 @@ _PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long,
 
 
 def _pieces(path: str, window: int, separator: int):
+    @T.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from . import tokens
 
